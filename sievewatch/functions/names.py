@@ -132,78 +132,89 @@ def canonical_given(c: Column) -> Column:
     return F.coalesce(F.try_element_at(literal_map(NICKNAMES), c), c)
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it many times in ``body``."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def metaphone(c: Column) -> Column:
     """Metaphone code of a lower-case ``[a-z0-9]`` token, one emission per letter.
 
     Every rule looks only at the letter's neighbours, so the code is a
-    ``transform`` over letter positions.
+    ``transform`` over the letters.
     """
-    word = F.when(F.substring(c, 1, 2).isin("kn", "gn", "pn", "wr", "ae"), c.substr(F.lit(2), F.length(c))).otherwise(c)
-
-    def at(pos: Column) -> Column:
-        return F.when(pos < 1, "").otherwise(word.substr(pos, F.lit(1)))
-
-    def emit(pos: Column) -> Column:
-        ch, p1, p2 = at(pos), at(pos - 1), at(pos - 2)
-        n1, n2 = at(pos + 1), at(pos + 2)
-        first = pos == 1
-
-        def vowel(x: Column) -> Column:
-            return x.isin("a", "e", "i", "o", "u")
-
-        def front(x: Column) -> Column:
-            return x.isin("e", "i", "y")
-
-        eaten = (
-            ((ch == "h") & p1.isin("c", "p", "s", "t"))
-            | ((ch == "h") & (p1 == "g") & ~vowel(n1))
-            | ((ch == "h") & (p1 == "w") & (pos == 2))
-            | ((ch == "g") & (p1 == "d") & front(n1))
-            | ((ch == "y") & (p1 == "c"))
-            | ((ch == "y") & (p1 == "g") & (p2 == "d"))
-        )
-        sibilant = (n1 == "i") & n2.isin("o", "a")
-        return (
-            F.when((ch == n1) & (ch != "c"), "")
-            .when(eaten, "")
-            .when(vowel(ch), F.when(first, ch).otherwise(""))
-            .when(ch == "c",
-                  F.when(((n1 == "i") & (n2 == "a")) | (n1 == "h"), "x").when(front(n1), "s").otherwise("k"))
-            .when(ch == "d", F.when((n1 == "g") & front(n2), "j").otherwise("t"))
-            .when(ch == "b", F.when((p1 == "m") & (n1 == ""), "").otherwise("b"))
-            .when(ch.isin("f", "j", "l", "m", "n", "r"), ch)
-            .when(ch == "g",
-                  F.when(front(n1), "j").when((n1 == "h") & ~vowel(n2), "").otherwise("k"))
-            .when(ch == "h", F.when(first | vowel(n1) | ~vowel(p1), "h").otherwise(""))
-            .when(ch == "k", F.when(first | (p1 != "c"), "k").otherwise(""))
-            .when(ch == "p", F.when(n1 == "h", "f").otherwise("p"))
-            .when(ch == "q", "k")
-            .when(ch == "s", F.when((n1 == "h") | sibilant, "x").otherwise("s"))
-            .when(ch == "t",
-                  F.when(sibilant, "x").when(n1 == "h", "0")
-                  .when((n1 == "c") & (n2 == "h"), "").otherwise("t"))
-            .when(ch == "v", "f")
-            .when(ch == "w",
-                  F.when(first & (n1 == "h"), F.when(vowel(n2) | (n2 == ""), "w").otherwise(""))
-                  .when(vowel(n1) | (n1 == ""), "w").otherwise(""))
-            .when(ch == "x",
-                  F.when(first, F.when((n1 == "h") | sibilant, "x").otherwise("s")).otherwise("ks"))
-            .when(ch == "y", F.when(vowel(n1), "y").otherwise(""))
-            .when(ch == "z", "s")
-            .otherwise("")
-        )
-
-    letters = F.transform(F.sequence(F.lit(1), F.greatest(F.length(word), F.lit(1))), emit)
-    return F.upper(F.array_join(letters, ""))
+    silent_start = c.substr(1, 2).isin("kn", "gn", "pn", "wr", "ae")
+    letters = F.split(F.when(silent_start, c.substr(F.lit(2), F.length(c))).otherwise(c), "")
+
+    def around(word: Column) -> Column:
+        def at(pos: Column) -> Column:
+            return F.coalesce(F.get(word, pos), F.lit(""))
+
+        codes = F.transform(word, lambda ch, i: let(
+            F.struct(ch.alias("ch"), (i == 0).alias("first"), (i == 1).alias("second"), at(i - 1).alias("p1"),
+                     at(i - 2).alias("p2"), at(i + 1).alias("n1"), at(i + 2).alias("n2")), _metaphone_letter))
+        return F.upper(F.array_join(codes, ""))
+
+    return let(letters, around)
+
+
+def _metaphone_letter(x: Column) -> Column:
+    """Code emitted for one letter given the two letters on either side."""
+    ch, p1, p2, n1, n2, first = x["ch"], x["p1"], x["p2"], x["n1"], x["n2"], x["first"]
+
+    def vowel(y: Column) -> Column:
+        return y.isin("a", "e", "i", "o", "u")
+
+    def front(y: Column) -> Column:
+        return y.isin("e", "i", "y")
+
+    eaten = (
+        ((ch == "h") & p1.isin("c", "p", "s", "t"))
+        | ((ch == "h") & (p1 == "g") & ~vowel(n1))
+        | ((ch == "h") & (p1 == "w") & x["second"])
+        | ((ch == "g") & (p1 == "d") & front(n1))
+        | ((ch == "y") & (p1 == "c"))
+        | ((ch == "y") & (p1 == "g") & (p2 == "d"))
+    )
+    sibilant = (n1 == "i") & n2.isin("o", "a")
+    return (
+        F.when((ch == n1) & (ch != "c"), "")
+        .when(eaten, "")
+        .when(vowel(ch), F.when(first, ch).otherwise(""))
+        .when(ch.isin("f", "j", "l", "m", "n", "r"), ch)
+        .when(ch == "b", F.when((p1 == "m") & (n1 == ""), "").otherwise("b"))
+        .when(ch == "c",
+              F.when(((n1 == "i") & (n2 == "a")) | (n1 == "h"), "x").when(front(n1), "s").otherwise("k"))
+        .when(ch == "d", F.when((n1 == "g") & front(n2), "j").otherwise("t"))
+        .when(ch == "g", F.when(front(n1), "j").when((n1 == "h") & ~vowel(n2), "").otherwise("k"))
+        .when(ch == "h", F.when(first | vowel(n1) | ~vowel(p1), "h").otherwise(""))
+        .when(ch == "k", F.when(first | (p1 != "c"), "k").otherwise(""))
+        .when(ch == "p", F.when(n1 == "h", "f").otherwise("p"))
+        .when(ch == "q", "k")
+        .when(ch == "s", F.when((n1 == "h") | sibilant, "x").otherwise("s"))
+        .when(ch == "t",
+              F.when(sibilant, "x").when(n1 == "h", "0").when((n1 == "c") & (n2 == "h"), "").otherwise("t"))
+        .when(ch == "v", "f")
+        .when(ch == "w",
+              F.when(first & (n1 == "h"), F.when(vowel(n2) | (n2 == ""), "w").otherwise(""))
+              .when(vowel(n1) | (n1 == ""), "w").otherwise(""))
+        .when(ch == "x",
+              F.when(first, F.when((n1 == "h") | sibilant, "x").otherwise("s")).otherwise("ks"))
+        .when(ch == "y", F.when(vowel(n1), "y").otherwise(""))
+        .when(ch == "z", "s")
+        .otherwise("")
+    )
 
 
 def token_keys(c: Column, phonetic: bool = True) -> Column:
     """Keys of one token; initials have none. ``phonetic=False`` keeps skeleton keys only."""
-    canon = canonical_given(c)
-    keys = [F.concat(F.lit("sk:"), skeleton(c)), F.concat(F.lit("sk:"), skeleton(canon))]
-    if phonetic:
-        keys += [F.concat(F.lit("mp:"), metaphone(c)), F.concat(F.lit("mp:"), metaphone(canon))]
-    return F.when(F.length(c) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(F.array(*keys)))
+    def keys(t: Column) -> Column:
+        sk = F.concat(F.lit("sk:"), skeleton(t))
+        return F.array(sk, F.concat(F.lit("mp:"), metaphone(t))) if phonetic else F.array(sk)
+
+    forms = F.array_distinct(F.array(c, canonical_given(c)))
+    return F.when(F.length(c) < 2, F.array().cast("array<string>")).otherwise(
+        F.array_distinct(F.flatten(F.transform(forms, keys))))
 
 
 def key_groups(tokens: Column, phonetic: bool = True) -> Column:
