@@ -1,0 +1 @@
+"""Runnable queries over the driver tables."""
