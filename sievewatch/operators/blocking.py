@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievewatch.functions.names import key_groups, name_tokens
-from sievewatch.session import ensure_checkpoint_dir
+from sievewatch.session import ensure_checkpoint_dir, spread
 
 DEFAULT_CAP = 200
 HOT_POSTINGS = 20_000
@@ -25,26 +25,21 @@ MAX_HOT_KEYS = 1_000
 
 
 def subject_variants(subjects: DataFrame) -> DataFrame:
-    """(subject_id, name_key, tokens) for every name a subject goes by.
+    """(subject_id, name_key): the normalized form of every name a subject goes by.
 
     ``subjects`` has ``subject_id`` and ``names array<string>`` (name, original
-    script name and aliases). Variants without keys are dropped: they match nothing.
+    script name and aliases).
     """
-    variants = subjects.select("subject_id", F.explode("names").alias("_name")).filter(
-        F.trim("_name") != ""
+    return subjects.select("subject_id", F.explode_outer("names").alias("_name")).select(
+        "subject_id", F.array_join(name_tokens(F.col("_name")), " ").alias("name_key")
     )
-    tokens = variants.select("subject_id", name_tokens(F.col("_name")).alias("_tokens"))
-    return tokens.select("subject_id", F.array_join("_tokens", " ").alias("name_key"), "_tokens")
 
 
 def distinct_names(variants: DataFrame, phonetic: bool = True) -> DataFrame:
     """One row per distinct normalized name with its key groups."""
-    names = variants.select("name_key", "_tokens").dropDuplicates(["name_key"])
-    return (
-        names.select("name_key", key_groups(F.col("_tokens"), phonetic).alias("groups"))
-        .withColumn("keys", F.array_distinct(F.flatten("groups")))
-        .filter(F.size("keys") > 0)
-    )
+    names = variants.select("name_key").distinct()
+    groups = key_groups(F.split("name_key", " "), phonetic)
+    return names.select("name_key", groups.alias("groups")).withColumn("keys", F.array_distinct(F.flatten("groups")))
 
 
 def record_keys(records: DataFrame, phonetic: bool = True) -> DataFrame:
@@ -55,7 +50,7 @@ def record_keys(records: DataFrame, phonetic: bool = True) -> DataFrame:
     keys = F.array_distinct(
         F.flatten(F.flatten(F.transform("names", lambda n: key_groups(name_tokens(n), phonetic))))
     )
-    return records.select("record_id", keys.alias("keys")).filter(F.size("keys") > 0)
+    return records.select("record_id", keys.alias("keys"))
 
 
 def hot_keys(rec_keys: DataFrame, hot_postings: int = HOT_POSTINGS) -> list[str]:
@@ -76,9 +71,10 @@ def _is_full(groups, keys):
 
 def _shared_pairs(names: DataFrame, recs: DataFrame, cold) -> DataFrame:
     """Pairs sharing at least one cold key, each emitted once at its smallest shared cold key."""
-    left = names.select("name_key", "groups", "keys", F.explode(cold("keys")).alias("key"))
+    # explode_outer: a plain explode would infer a size filter and compute the keys twice.
+    left = names.select("name_key", "groups", "keys", F.explode_outer(cold("keys")).alias("key"))
     right = recs.select(
-        "record_id", F.col("keys").alias("rec_keys"), F.explode(cold("keys")).alias("key")
+        "record_id", F.col("keys").alias("rec_keys"), F.explode_outer(cold("keys")).alias("key")
     )
     joined = left.join(right, "key").withColumn("hits", F.array_intersect("keys", "rec_keys"))
     first = F.array_min(cold("hits"))
@@ -88,13 +84,15 @@ def _shared_pairs(names: DataFrame, recs: DataFrame, cold) -> DataFrame:
 
 
 def _capped(pairs: DataFrame, cap: int) -> DataFrame:
-    """All full matches plus the best ``cap`` partial matches per name."""
-    order = Window.partitionBy("name_key").orderBy(F.desc(F.size("hits")), "record_id")
-    partial = (
-        pairs.filter(~F.col("is_full")).withColumn("_rank", F.row_number().over(order))
-        .filter(F.col("_rank") <= cap).drop("_rank")
+    """All full matches plus the best ``cap`` partial matches per name.
+
+    Full matches get a window partition of their own, so one ``rank <= cap`` filter keeps them
+    all, still limits the partial ones before the shuffle, and reads the pairs only once.
+    """
+    order = Window.partitionBy("name_key", F.when(F.col("is_full"), F.col("record_id"))).orderBy(
+        F.desc(F.size("hits")), "record_id"
     )
-    return pairs.filter("is_full").unionByName(partial)
+    return pairs.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= cap).drop("_rank")
 
 
 def _hot_pairs(names: DataFrame, recs: DataFrame, cold_pairs: DataFrame, hot, cold, cap: int) -> DataFrame:
@@ -192,8 +190,7 @@ def block(
     variants = subject_variants(subjects)
     pairs = candidate_names(distinct_names(variants, phonetic), record_keys(records, phonetic), cap, hot_postings)
     return (
-        variants.select("subject_id", "name_key").distinct().join(pairs, "name_key")
-        .repartition("subject_id")
+        spread(variants.select("subject_id", "name_key").distinct().join(pairs, "name_key"), "subject_id")
         .groupBy("subject_id", "record_id")
         .agg(
             F.array_sort(F.array_distinct(F.flatten(F.collect_set("hits")))).alias("matched_keys"),
