@@ -94,7 +94,7 @@ def alert_rate(decisions: DataFrame) -> DataFrame:
 def time_to_disposition(decisions: DataFrame, dispositions: DataFrame) -> DataFrame:
     """Median and 95th percentile of the hours from decision to the first human disposition."""
     first = dispositions.groupBy("decision_id").agg(F.min("created_at").alias("_first"))
-    hours = (F.unix_micros("_first") - F.unix_micros("decided_at")) / F.lit(3_600_000_000.0)
+    hours = (F.unix_micros(F.col("_first").cast("timestamp")) - F.unix_micros(F.col("decided_at").cast("timestamp"))) / F.lit(3_600_000_000.0)
     return decisions.join(first, "decision_id").agg(
         F.count("*").alias("disposed"), F.percentile_approx(hours, 0.5, 10_000).alias("median_hours"),
         F.percentile_approx(hours, 0.95, 10_000).alias("p95_hours"))

@@ -71,7 +71,7 @@ def required_dim(spark: SparkSession, required=REQUIRED_SOURCES) -> DataFrame:
 
 def list_coverage(current: DataFrame, required: DataFrame, as_of, max_age_days: float = MAX_LIST_AGE_DAYS) -> DataFrame:
     """(source, status): complete when the required list is present and fresh enough."""
-    age = (F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros("retrieved_at")) / F.lit(86_400_000_000.0)
+    age = (F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(F.col("retrieved_at").cast("timestamp"))) / F.lit(86_400_000_000.0)
     fresh = F.coalesce(age <= max_age_days, F.lit(False))
     return required.join(current.select("source", "retrieved_at", "snapshot_id"), "source", "left").select(
         "source", F.when(fresh, "complete").otherwise("unavailable").alias("status"), "snapshot_id", "retrieved_at"

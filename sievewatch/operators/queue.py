@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievewatch.functions.names import let
 from sievewatch.functions.text import substring_match
 
 
@@ -96,7 +97,7 @@ def total(filtered: DataFrame) -> DataFrame:
 
 def run_timing(runs: DataFrame) -> DataFrame:
     """Duration in seconds of every finished run."""
-    return runs.withColumn("duration_seconds", (F.unix_micros("completed_at") - F.unix_micros("started_at")) / F.lit(1e6))
+    return runs.withColumn("duration_seconds", (F.unix_micros(F.col("completed_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))) / F.lit(1e6))
 
 
 def latest_run(runs: DataFrame, key: str = "entity_id") -> DataFrame:
@@ -141,7 +142,7 @@ def apply_reviews(reviews: DataFrame, actions: DataFrame) -> tuple[DataFrame, Da
     ranked = ranked.join(marked, "run_id", "left")
     bad = (F.col("kind") == "mark") & (F.col("_has").isNotNull() | (F.col("_mark") > 1))
     good = ranked.filter(~bad)
-    step = F.struct("acted_at", "action_id", "kind", "status", "notes", "corrections")
+    step = F.struct("acted_at", "action_id", "kind", "status", "notes", F.to_json("corrections").alias("corrections"))
     folded = good.groupBy("run_id").agg(F.array_sort(F.collect_list(step)).alias("steps"))
     empty = F.create_map().cast("map<string,string>")
     merged = reviews.join(folded, "run_id", "full_outer").withColumn("steps", F.coalesce("steps", F.array().cast(folded.schema["steps"].dataType)))
@@ -152,8 +153,8 @@ def apply_reviews(reviews: DataFrame, actions: DataFrame) -> tuple[DataFrame, Da
     texts = F.filter(F.concat(F.array("notes"), F.transform("steps", lambda s: s["notes"])), lambda n: F.coalesce(n, F.lit("")) != "")
     corrections = F.aggregate(
         "steps", F.coalesce("corrections", empty),
-        lambda acc, s: F.map_concat(F.map_filter(acc, lambda k, _v: ~F.coalesce(F.map_contains_key(F.coalesce(s["corrections"], empty), k), F.lit(False))),
-                                    F.coalesce(s["corrections"], empty)))
+        lambda acc, s: let(F.coalesce(F.from_json(s["corrections"], "map<string,string>"), empty), lambda new: F.map_concat(
+            F.map_filter(acc, lambda k, _v: ~F.map_contains_key(new, k)), new)))
     first_mark = F.try_element_at(F.filter("steps", lambda s: s["kind"] == "mark"), F.lit(1))
     out = merged.select(
         "run_id", F.coalesce(last("status"), F.col("status")).alias("status"),

@@ -25,6 +25,9 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # The files hold timestamps without a zone; read them as UTC instants.
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.parquet.inferTimestampNTZ.enabled", "false")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
