@@ -36,7 +36,7 @@ def find_phones(text: Column) -> Column:
 
 
 def find_addresses(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(ADDRESS), F.lit(0)), F.trim))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(ADDRESS), F.lit(0)), lambda v: F.trim(v)))
 
 
 def mail_domain(e: Column) -> Column:
@@ -68,7 +68,7 @@ def clean_phones(found: Column) -> Column:
         varied = F.size(F.array_distinct(F.split(digits, ""))) > 2
         return F.length(digits).between(10, 15) & ~p.rlike(r"^\d+$") & varied
 
-    return F.filter(F.array_distinct(F.transform(found, F.trim)), ok)
+    return F.filter(F.array_distinct(F.transform(found, lambda v: F.trim(v))), ok)
 
 
 def _meta(html: Column, name: str) -> Column:

@@ -128,7 +128,7 @@ def truthy(normalized: Column, raw: Column) -> Column:
 def numbered(c: Column) -> Column:
     """"(1) A (2) B" -> [A, B]; a plain value -> [value]; blank -> []."""
     value = F.trim(F.coalesce(c, F.lit("")))
-    parts = F.filter(F.transform(F.split(value, r"\(\d+\)"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(value, r"\(\d+\)"), lambda v: F.trim(v)), lambda p: p != "")
     return (
         F.when(value == "", F.array().cast("array<string>"))
         .when(~value.startswith("("), F.array(value))

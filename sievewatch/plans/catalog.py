@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sievewatch.plans import listing, reuse, scoring, screening  # noqa: F401
+from sievewatch.plans import company, listing, reuse, scoring, screening  # noqa: F401
 from sievewatch.plans.base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

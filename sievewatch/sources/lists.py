@@ -159,7 +159,7 @@ def read_un(spark: SparkSession, path: str) -> DataFrame:
         F.coalesce(blank(F.col("DATAID")), F.lit("")).alias("source_entry_id"), primary.alias("primary_name"), names.alias("names"),
         F.transform("INDIVIDUAL_DATE_OF_BIRTH", birth).alias("dobs"),
         F.transform("INDIVIDUAL_PLACE_OF_BIRTH", lambda p: joined(", ", blank(p["CITY"]), blank(p["COUNTRY"]))).alias("pobs"),
-        F.flatten(F.transform("NATIONALITY", lambda n: F.transform(n["VALUE"], F.trim))).alias("nationalities"),
+        F.flatten(F.transform("NATIONALITY", lambda n: F.transform(n["VALUE"], lambda v: F.trim(v)))).alias("nationalities"),
         F.transform("INDIVIDUAL_DOCUMENT", doc).alias("documents"), blank(F.col("GENDER")).alias("gender"),
         blank(F.col("UN_LIST_TYPE")).alias("program"),
     ), "un_consolidated")
