@@ -28,7 +28,7 @@ COUNTRY_CODE = (*ISO, "ruritania")
 CITIES = ("Arden", "Belmora", "Corvin", "Dunmere", "Eastvale")
 
 
-def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+def subjects(spark: SparkSession, sf_dir: str, df: DataFrame | None = None) -> DataFrame:
     """subject_id, name, aliases, dob, nationality, pob, documents from ``customer``."""
     k = F.col("c_custkey")
     given, family = pick(GIVEN, k % 24), pick(FAMILY, (k * 7 + 3) % 40)
@@ -41,15 +41,15 @@ def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 11 == 0, F.concat(F.substring(given, 1, 1), F.lit(". "), family))), lambda a: a.isNotNull())
     doc = F.struct(F.when(k % 2 == 0, "passport").otherwise("national_id").alias("type"),
                    F.concat(F.lit("P"), (k % 500).cast("string"), F.lit("-X")).alias("number"), iso.alias("country"))
-    return table(spark, sf_dir, "customer").select(
+    return (table(spark, sf_dir, "customer") if df is None else df).select(
         k.alias("subject_id"), F.concat(given, F.lit(" "), family).alias("name"), extra.alias("aliases"), birth.alias("dob"),
         iso.alias("nationality"), F.when(k % 6 < 5, pick(CITIES, k % 6)).alias("pob"),
         F.filter(F.array(F.when(k % 3 == 0, doc)), lambda x: x.isNotNull()).alias("documents"))
 
 
-def records(spark: SparkSession, sf_dir: str, source: str = "part", key: str = "p_partkey") -> DataFrame:
+def records(spark: SparkSession, sf_dir: str, df: DataFrame | None = None) -> DataFrame:
     """record_id, names, dobs, pobs, nationalities, documents from ``part``."""
-    k = F.col(key)
+    k = F.col("p_partkey")
     given, family, middle = pick(GIVEN, (k * 5 + 1) % 24), pick(FAMILY, (k * 11 + 2) % 40), pick(MIDDLE, k % 7)
     space = F.lit(" ")
     names = F.filter(F.array(
@@ -63,7 +63,7 @@ def records(spark: SparkSession, sf_dir: str, source: str = "part", key: str = "
         F.when(k % 9 == 0, dob(year=1951 + k % 40))), lambda x: x.isNotNull())
     doc = F.struct(F.lit("passport").alias("type"), F.concat(F.lit("p"), (k % 500).cast("string"), F.lit("x")).alias("number"),
                    pick(ISO, k % 10).alias("country"))
-    return table(spark, sf_dir, source).select(
+    return (table(spark, sf_dir, "part") if df is None else df).select(
         F.concat(F.lit("W"), k.cast("string")).alias("record_id"), names.alias("names"), dobs.alias("dobs"),
         F.array(F.concat(pick(CITIES, k % 5), F.lit(", Ruritania"))).alias("pobs"),
         F.filter(F.array(F.when(k % 8 != 0, pick(COUNTRY_TEXT, k % 11))), lambda x: x.isNotNull()).alias("nationalities"),
