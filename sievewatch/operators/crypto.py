@@ -13,6 +13,7 @@ import os
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 KEY_PURPOSE = "dek"
 
@@ -29,20 +30,18 @@ def _aad(purpose: str) -> Column:
     return F.concat(F.lit(f"{purpose}:"), F.col("subject_id").cast("string"))
 
 
-@F.pandas_udf("binary")
-def _random_keys(ids: pd.Series) -> pd.Series:
+def _draw_keys(ids: pd.Series) -> pd.Series:
     return ids.map(lambda _i: os.urandom(32))
 
 
-_random_keys = _random_keys.asNondeterministic()
-
-
 def new_subject_keys(subjects: DataFrame, existing: DataFrame | None, masters: DataFrame, master_id: str) -> DataFrame:
     """Wrapped keys for subjects that have none yet. Write the result once before using it."""
     ids = subjects.select("subject_id").distinct()
     if existing is not None:
         ids = ids.join(existing.select("subject_id"), "subject_id", "left_anti")
-    fresh = ids.withColumn("master_id", F.lit(master_id)).withColumn("_dek", _random_keys(F.col("subject_id").cast("string")))
+    # The operating system's generator is needed here; Spark's uuid and rand are seeded and guessable.
+    draw = F.pandas_udf(_draw_keys, BinaryType()).asNondeterministic()
+    fresh = ids.withColumn("master_id", F.lit(master_id)).withColumn("_dek", draw(F.col("subject_id").cast("string")))
     return fresh.join(F.broadcast(masters), "master_id").select(
         "subject_id", "master_id",
         F.aes_encrypt("_dek", "master_key", F.lit("GCM"), F.lit("DEFAULT"), F.lit("").cast("binary"), _aad(KEY_PURPOSE)).alias("wrapped_key"),

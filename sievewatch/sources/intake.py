@@ -4,18 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sievewatch.functions.geo import company_country
 from sievewatch.functions.text import blank_to_null, domain, email
 
 PERSON = "struct<name:string,relationship:string,role:string,dob:string,nationality:string,ownership_pct:double>"
-SUBMISSION_SCHEMA = T.StructType.fromDDL(
+SUBMISSION_SCHEMA = (
     "submission_id string, company_name string, work_email string, company_domain string, country string, tax_id string, "
     "registration_number string, billing_address string, phone string, requester_full_name string, linkedin_url string, "
     f"extra_metadata map<string,string>, people array<{PERSON}>, idempotency_key string, source_ip string, user_agent string, "
     "forwarded_headers string, submitted_at timestamp")
-SCREENING_SCHEMA = T.StructType.fromDDL(
+SCREENING_SCHEMA = (
     "subject_id string, name string, original_script_name string, aliases array<string>, dob string, nationality string, "
     "country_of_residence string, pob string, gender string, documents array<struct<type:string,number:string,country:string>>, "
     "address string, kyb_entity_id string, idempotency_key string")

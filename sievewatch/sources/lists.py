@@ -115,7 +115,7 @@ def read_ofac(spark: SparkSession, path: str) -> DataFrame:
 
 # --- UN -------------------------------------------------------------------------------------
 
-UN_SCHEMA = T.StructType.fromDDL(
+UN_SCHEMA = (
     "DATAID string, FIRST_NAME string, SECOND_NAME string, THIRD_NAME string, FOURTH_NAME string, UN_LIST_TYPE string, "
     "NAME_ORIGINAL_SCRIPT string, GENDER string, NATIONALITY array<struct<VALUE:array<string>>>, "
     "INDIVIDUAL_ALIAS array<struct<QUALITY:string,ALIAS_NAME:string>>, "
@@ -167,7 +167,7 @@ def read_un(spark: SparkSession, path: str) -> DataFrame:
 
 # --- EU -------------------------------------------------------------------------------------
 
-EU_SCHEMA = T.StructType.fromDDL(
+EU_SCHEMA = (
     "_logicalId string, subjectType struct<_code:string>, regulation array<struct<_programme:string>>, "
     "nameAlias array<struct<_wholeName:string,_gender:string,_nameLanguage:string,_strong:string>>, "
     "birthdate array<struct<_birthdate:string,_year:string,_monthOfYear:string,_yearRangeFrom:string,_yearRangeTo:string,"
