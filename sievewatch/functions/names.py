@@ -235,14 +235,12 @@ def name_keys(c: Column, phonetic: bool = True) -> Column:
     return F.array_distinct(F.flatten(key_groups(name_tokens(c), phonetic)))
 
 
+def keyed_tokens(tokens: Column, phonetic: bool = True) -> Column:
+    """Tokens with their keys: ``array<struct<t, k>>``."""
+    return F.transform(tokens, lambda t: F.struct(t.alias("t"), token_keys(t, phonetic).alias("k")))
+
+
 def name_forms(names: Column, phonetic: bool = True) -> Column:
-    """``array<string>`` of names -> ``array<struct<name, tokens, token_keys>>`` for pair scoring."""
-    return F.transform(
-        names,
-        lambda n: F.struct(
-            n.alias("name"),
-            F.transform(
-                name_tokens(n), lambda t: F.struct(t.alias("t"), token_keys(t, phonetic).alias("k"))
-            ).alias("tokens"),
-        ),
-    )
+    """``array<string>`` of names -> ``array<struct<name, key, tokens>>`` for pair scoring."""
+    return F.transform(names, lambda n: let(name_tokens(n), lambda ts: F.struct(
+        n.alias("name"), F.array_join(ts, " ").alias("key"), keyed_tokens(ts, phonetic).alias("tokens"))))

@@ -16,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievewatch.functions.names import key_groups, name_tokens
+from sievewatch.functions.names import key_groups, keyed_tokens, name_forms, name_tokens
+from sievewatch.operators.name_rank import best_form
 from sievewatch.session import ensure_checkpoint_dir, spread
 
 DEFAULT_CAP = 200
@@ -178,22 +179,39 @@ def candidate_names(
     return _capped(pairs, cap)
 
 
+def with_name_ranks(pairs: DataFrame, names: DataFrame, records: DataFrame, phonetic: bool = True) -> DataFrame:
+    """Add ``name_rank`` (best rank and record name position) once per distinct name and record.
+
+    A name shared by many subjects is compared once, before its pairs fan out to them.
+    """
+    tokens = names.select("name_key", keyed_tokens(F.split("name_key", " "), phonetic).alias("_tokens"))
+    forms = records.select("record_id", name_forms(F.col("names"), phonetic).alias("_forms"))
+    joined = pairs.join(forms, "record_id").join(tokens, "name_key")
+    return joined.withColumn("name_rank", best_form(F.col("_tokens"), F.col("_forms"))).drop("_tokens", "_forms")
+
+
 def block(
     subjects: DataFrame, records: DataFrame, cap: int = DEFAULT_CAP,
-    hot_postings: int = HOT_POSTINGS, phonetic: bool = True,
+    hot_postings: int = HOT_POSTINGS, phonetic: bool = True, compare: bool = False,
 ) -> DataFrame:
     """(subject_id, record_id, matched_keys, is_full): union of candidates over all subject names.
 
+    With ``compare`` also ``name_ranks``, a map from each blocked name to its name rank.
     The result is partitioned by ``subject_id`` so that scoring windows and the
     run rollup need no further shuffle.
     """
     variants = subject_variants(subjects)
-    pairs = candidate_names(distinct_names(variants, phonetic), record_keys(records, phonetic), cap, hot_postings)
+    names = distinct_names(variants, phonetic)
+    pairs = candidate_names(names, record_keys(records, phonetic), cap, hot_postings)
+    extra = []
+    if compare:
+        pairs = with_name_ranks(pairs, names, records, phonetic)
+        extra = [F.map_from_entries(F.collect_set(F.struct("name_key", "name_rank"))).alias("name_ranks")]
     return (
         spread(variants.select("subject_id", "name_key").distinct().join(pairs, "name_key"), "subject_id")
         .groupBy("subject_id", "record_id")
         .agg(
             F.array_sort(F.array_distinct(F.flatten(F.collect_set("hits")))).alias("matched_keys"),
-            F.max("is_full").alias("is_full"),
+            F.max("is_full").alias("is_full"), *extra,
         )
     )

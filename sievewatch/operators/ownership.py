@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from sievewatch.sources.evidence import emit, item
 
-TXT_PREFIX = "entity-verification="
-META_NAME = "entity-verification"
+TXT_PREFIX = "domain-proof="
+META_NAME = "domain-proof"
 
 
 def verify_ownership(challenges: DataFrame, txt: DataFrame, pages: DataFrame, mail_tokens: DataFrame,
