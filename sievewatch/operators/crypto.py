@@ -8,8 +8,6 @@ in a plan, and shredding only rewrites the key table.
 
 from __future__ import annotations
 
-import os
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,17 +28,19 @@ def _aad(purpose: str) -> Column:
     return F.concat(F.lit(f"{purpose}:"), F.col("subject_id").cast("string"))
 
 
-def _draw_keys(ids: pd.Series) -> pd.Series:
-    return ids.map(lambda _i: os.urandom(32))
-
-
 def new_subject_keys(subjects: DataFrame, existing: DataFrame | None, masters: DataFrame, master_id: str) -> DataFrame:
     """Wrapped keys for subjects that have none yet. Write the result once before using it."""
     ids = subjects.select("subject_id").distinct()
     if existing is not None:
         ids = ids.join(existing.select("subject_id"), "subject_id", "left_anti")
     # The operating system's generator is needed here; Spark's uuid and rand are seeded and guessable.
-    draw = F.pandas_udf(_draw_keys, BinaryType()).asNondeterministic()
+    # A local function travels by value, so workers need no copy of this package.
+    def draw_keys(ids: pd.Series) -> pd.Series:
+        import os
+
+        return ids.map(lambda _i: os.urandom(32))
+
+    draw = F.pandas_udf(draw_keys, BinaryType()).asNondeterministic()
     fresh = ids.withColumn("master_id", F.lit(master_id)).withColumn("_dek", draw(F.col("subject_id").cast("string")))
     return fresh.join(F.broadcast(masters), "master_id").select(
         "subject_id", "master_id",
