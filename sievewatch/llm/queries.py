@@ -5,11 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sievewatch.llm import simhash, suffix_dedup
+from sievewatch.llm import simhash, suffix_dedup, toxicity
 from sievewatch.llm.common import table
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    return scored.select(F.col("id").alias("doc_id"), "held_out", "score", predicted, "n_tokens", F.size("passages").alias("n_passages"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -19,6 +26,7 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
 }
