@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewatch.llm import simhash, suffix_dedup, toxicity
+from sievewatch.llm import bpe, mixing, simhash, suffix_dedup, toxicity
 from sievewatch.llm.common import table
 
 
@@ -17,6 +17,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("id").alias("doc_id"), "held_out", "score", predicted, "n_tokens", F.size("passages").alias("n_passages"))
 
 
+def op3_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "mix_copies", "mix_copy", "mix_order")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -25,9 +30,17 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_report(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op7_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.bpe_tokens(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
+    "op3_poisson_mixing": op3_poisson_mixing,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
+    "op7_bpe_automaton": op7_bpe_automaton,
+}
+ORACLE: dict[str, str] = {
+    "op3_poisson_mixing": mixing.MIX_SQL,
 }
-ORACLE: dict[str, str] = {}
