@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewatch.llm import bpe, mixing, simhash, suffix_dedup, toxicity
+from sievewatch.llm import bpe, mixing, sharding, simhash, suffix_dedup, toxicity, url_graph
 from sievewatch.llm.common import table
 
 
+def op1_url_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_graph.judge_pages(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
@@ -34,13 +38,22 @@ def op7_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_tokens(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op9_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.kd_shards(table(spark, sf_dir, "documents"))
+    law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", law, "shard", "slot", grown)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_link_graph": op1_url_link_graph,
     "op2_toxicity": op2_toxicity,
     "op3_poisson_mixing": op3_poisson_mixing,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op7_bpe_automaton": op7_bpe_automaton,
+    "op9_kd_tree_sharding": op9_kd_tree_sharding,
 }
 ORACLE: dict[str, str] = {
+    "op1_url_link_graph": url_graph.judge_sql(),
     "op3_poisson_mixing": mixing.MIX_SQL,
 }
