@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewatch.llm import bpe, mixing, sharding, simhash, suffix_dedup, toxicity, url_graph
+from sievewatch.llm import ann, bpe, mixing, sharding, simhash, suffix_dedup, toxicity, url_graph
 from sievewatch.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_report(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op6_hnsw_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op7_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_tokens(table(spark, sf_dir, "documents"), with_ids=False)
 
@@ -44,14 +48,21 @@ def op9_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", law, "shard", "slot", grown)
 
 
+def op10_hnsw_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, rows.where("vec_id % 20 = 0"), 20).withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_link_graph": op1_url_link_graph,
     "op2_toxicity": op2_toxicity,
     "op3_poisson_mixing": op3_poisson_mixing,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
+    "op6_hnsw_near_dedup": op6_hnsw_near_dedup,
     "op7_bpe_automaton": op7_bpe_automaton,
     "op9_kd_tree_sharding": op9_kd_tree_sharding,
+    "op10_hnsw_neighbours": op10_hnsw_neighbours,
 }
 ORACLE: dict[str, str] = {
     "op1_url_link_graph": url_graph.judge_sql(),
