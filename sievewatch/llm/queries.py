@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewatch.llm import ann, bpe, mixing, sharding, simhash, suffix_dedup, toxicity, url_graph
+from sievewatch.llm import ann, bpe, mixing, sharding, simhash, suffix_dedup, token_files, toxicity, url_graph
 from sievewatch.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op7_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_tokens(table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op8_orc_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_file_report(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op9_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.kd_shards(table(spark, sf_dir, "documents"))
     law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_suffix_array_dedup": op5_suffix_array_dedup,
     "op6_hnsw_near_dedup": op6_hnsw_near_dedup,
     "op7_bpe_automaton": op7_bpe_automaton,
+    "op8_orc_token_files": op8_orc_token_files,
     "op9_kd_tree_sharding": op9_kd_tree_sharding,
     "op10_hnsw_neighbours": op10_hnsw_neighbours,
 }
