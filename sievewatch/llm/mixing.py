@@ -59,22 +59,26 @@ def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None
 
 
 def poisson_copies(docs: DataFrame, rates: DataFrame, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` with ``mix_copies``: how often each row goes into the mix."""
+    """(row: the columns of ``docs``, mix_key, mix_copies: how often the row goes into the mix)."""
     key = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(text_of(text_col).cast("binary")))
-    joined = docs.withColumn("mix_key", key).join(stage(rates, "rates"), F.col(source_col).cast("string").eqNullSafe(F.col("mix_source")))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key.alias("mix_key"), F.col(source_col).cast("string").alias("own_source"))
+    joined = rows.join(stage(rates, "rates"), F.col("own_source").eqNullSafe(F.col("mix_source")))
     draw = F.aggregate(
         F.sequence(F.lit(1), F.col("parts")), F.lit(0),
         lambda total, part: total + F.size(F.filter("cdf", lambda c: c < uniform(F.col("mix_key"), part.cast("string")))),
     )
-    return joined.withColumn("mix_copies", F.when(F.col("rate") > 0, draw).otherwise(0)).drop("mix_source", "rate", "parts", "cdf")
+    return joined.select("row", "mix_key", F.when(F.col("rate") > 0, draw).otherwise(0).alias("mix_copies"))
 
 
 def mix_sources(docs: DataFrame, weights: dict[str | None, float] | None = None, epochs: float = 1.0, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` replicated and shuffled, with ``mix_copies``, ``mix_copy`` (from 1) and ``mix_order`` (hexadecimal)."""
+    """``docs`` replicated and shuffled, with ``mix_copies``, ``mix_copy`` (from 1) and ``mix_order`` (hexadecimal) in place
+    of any columns of these names."""
     counted = poisson_copies(docs, source_rates(docs, weights, epochs, text_col, source_col), seed, id_col, text_col, source_col)
     copies = counted.where("mix_copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
     order = F.md5(F.concat_ws(":", "mix_key", F.lit("copy"), F.col("mix_copy").cast("string")).cast("binary"))
-    return copies.withColumn("mix_order", order).drop("mix_key").repartition("mix_order").sortWithinPartitions("mix_order")
+    dealt = copies.withColumn("mix_order", order).repartition("mix_order").sortWithinPartitions("mix_order")
+    own = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("mix_copies", "mix_copy", "mix_order")]
+    return dealt.select(*own, "mix_copies", "mix_copy", "mix_order")
 
 
 MIX_SQL = f"""

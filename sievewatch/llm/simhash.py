@@ -244,7 +244,9 @@ def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = stage(simhash_classes(docs, id_col, text_col, budget), "classes")
     first = classes.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("first"))
     first = first.select(F.col("first.id").alias("_keep_id"), F.col("first.text_hash").alias("_keep_hash")).distinct()
-    hashed = docs.withColumns({"_sim_id": F.col(id_col).cast("long"), "_sim_hash": F.xxhash64(text_of(text_col))})
-    kept = hashed.join(first, F.col("_sim_id").eqNullSafe(F.col("_keep_id")) & (F.col("_sim_hash") == F.col("_keep_hash")))
-    copy = F.row_number().over(Window.partitionBy("_sim_hash", "_sim_id").orderBy(F.lit(1)))
-    return kept.withColumn("_sim_copy", copy).where("_sim_copy = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    first = stage(first, "kept")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    hashed = docs.select(row, F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_of(text_col)).alias("_hash"))
+    kept = hashed.join(first, F.col("_id").eqNullSafe(F.col("_keep_id")) & (F.col("_hash") == F.col("_keep_hash")))
+    copy = F.row_number().over(Window.partitionBy("_hash", "_id").orderBy(F.lit(1)))
+    return kept.withColumn("_copy", copy).where("_copy = 1").select("row.*")

@@ -181,7 +181,8 @@ def _expander(least: int) -> Callable:
             columns = {c: batch.column(c).to_pylist() for c in ("id", "text_hash", "start", "n", "bytes", "anchor", "block")}
             for row in zip(*columns.values(), strict=True):
                 if row[5:] != group:
-                    if size >= TRANSFORM:
+                    # blocks of one anchor share stretches, which must not count as repeats of themselves
+                    if size >= TRANSFORM or held and group[0] == row[5]:
                         yield spans(held)
                         held, size = [], 0
                     group = row[5:]
