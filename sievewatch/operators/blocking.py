@@ -3,26 +3,18 @@
 Work is done per *distinct name*, never per subject, so a name shared by a
 third of all subjects is matched once. A pair is emitted only at the smallest
 key both sides share, which removes duplicates without shuffling pairs.
-Full matches (every keyed token hit) are all kept; partial matches are ranked
-by the number of shared keys and cut per name.
-
-Keys with very long posting lists are handled apart. Records are grouped by
-their set of hot keys and only a bounded head of each group is read for
-partial matches; the bound is exact, see ``_hot_pairs``.
+Every pair that shares a key is a candidate, full matches (every keyed token
+hit) and partial ones alike: nothing is cut. Both sides of the join come
+straight from a shuffle on the key, so AQE splits a key with long postings.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievewatch.functions.names import key_groups, keyed_tokens, name_forms, name_tokens
 from sievewatch.operators.name_rank import best_form
-from sievewatch.session import ensure_checkpoint_dir, spread
-
-DEFAULT_CAP = 200
-HOT_POSTINGS = 20_000
-MAX_HOT_KEYS = 1_000
 
 
 def subject_variants(subjects: DataFrame) -> DataFrame:
@@ -54,131 +46,21 @@ def record_keys(records: DataFrame, phonetic: bool = True) -> DataFrame:
     return records.select("record_id", keys.alias("keys"))
 
 
-def hot_keys(rec_keys: DataFrame, hot_postings: int = HOT_POSTINGS) -> list[str]:
-    """Keys whose posting list exceeds the threshold: at most ``MAX_HOT_KEYS`` strings.
-
-    Any key left out has at most max(threshold, postings / MAX_HOT_KEYS) records.
-    """
-    rows = (
-        rec_keys.select(F.explode("keys").alias("key")).groupBy("key").count()
-        .filter(F.col("count") > hot_postings).orderBy(F.desc("count")).limit(MAX_HOT_KEYS).collect()
-    )
-    return [r["key"] for r in rows]
-
-
 def _is_full(groups, keys):
     return F.forall(groups, lambda g: F.arrays_overlap(g, keys))
 
 
-def _shared_pairs(names: DataFrame, recs: DataFrame, cold) -> DataFrame:
-    """Pairs sharing at least one cold key, each emitted once at its smallest shared cold key."""
+def candidate_names(names: DataFrame, recs: DataFrame) -> DataFrame:
+    """(name_key, record_id, hits, is_full): each pair sharing a key, emitted once at its smallest shared key."""
     # explode_outer: a plain explode would infer a size filter and compute the keys twice.
-    left = names.select("name_key", "groups", "keys", F.explode_outer(cold("keys")).alias("key"))
-    right = recs.select(
-        "record_id", F.col("keys").alias("rec_keys"), F.explode_outer(cold("keys")).alias("key")
-    )
+    left = names.select("name_key", "groups", "keys", F.explode_outer("keys").alias("key"))
+    right = recs.select("record_id", F.col("keys").alias("rec_keys"), F.explode_outer("keys").alias("key"))
     joined = left.join(right, "key").withColumn("hits", F.array_intersect("keys", "rec_keys"))
-    first = F.array_min(cold("hits"))
-    return joined.filter(F.col("key") == first).select(
+    return joined.filter(F.col("key") == F.array_min("hits")).select(
         "name_key", "record_id", "hits", _is_full(F.col("groups"), F.col("rec_keys")).alias("is_full")
     )
 
 
-def _capped(pairs: DataFrame, cap: int) -> DataFrame:
-    """All full matches plus the best ``cap`` partial matches per name.
-
-    Full matches get a window partition of their own, so one ``rank <= cap`` filter keeps them
-    all, still limits the partial ones before the shuffle, and reads the pairs only once.
-    """
-    order = Window.partitionBy("name_key", F.when(F.col("is_full"), F.col("record_id"))).orderBy(
-        F.desc(F.size("hits")), "record_id"
-    )
-    return pairs.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= cap).drop("_rank")
-
-
-def _hot_pairs(names: DataFrame, recs: DataFrame, cold_pairs: DataFrame, hot, cold, cap: int) -> DataFrame:
-    """Pairs that share hot keys only.
-
-    Full: every token group is hit by a hot key. These are results, so all are kept.
-    Partial: for one pattern of hot groups, order the records by (hot hits desc, id).
-    Whatever precedes a record in that order shares at least as many keys, so it also
-    precedes it in the name's own ranking, or it is a full match with a cold hit. Hence
-    a record among a name's best ``cap`` partial matches lies in the first
-    ``cap + (full matches with a cold hit)`` positions, and reading that head is exact.
-    """
-    probes = names.select(
-        "name_key", "keys",
-        F.array_sort(F.filter(F.transform("groups", lambda g: F.array_sort(hot(g))),
-                              lambda g: F.size(g) > 0)).alias("hot_groups"),
-        F.forall("groups", lambda g: F.size(hot(g)) > 0).alias("all_hot"),
-    ).filter(F.size("hot_groups") > 0)
-    probes = probes.withColumn("pattern", F.xxhash64(F.to_json("hot_groups"), "all_hot"))
-    rec_sigs = recs.withColumn("hot_sig", F.array_sort(hot("keys"))).filter(F.size("hot_sig") > 0)
-    rec_sigs = rec_sigs.withColumn("sig", F.xxhash64(F.array_join("hot_sig", "\u0001")))
-
-    patterns = probes.select("pattern", "hot_groups", "all_hot").dropDuplicates(["pattern"])
-    sigs = rec_sigs.select("sig", "hot_sig").dropDuplicates(["sig"])
-    matched = (
-        patterns.withColumn("hot_keys", F.array_distinct(F.flatten("hot_groups")))
-        .withColumn("key", F.explode("hot_keys"))
-        .join(sigs.withColumn("key", F.explode("hot_sig")), "key")
-        .withColumn("common", F.array_intersect("hot_keys", "hot_sig"))
-        .filter(F.col("key") == F.array_min("common"))
-        .select("pattern", "sig", F.size("common").alias("n_hot"),
-                (F.col("all_hot") & _is_full(F.col("hot_groups"), F.col("hot_sig"))).alias("full"))
-    )
-    no_cold_hit = ~F.arrays_overlap(cold("keys"), F.col("rec_keys"))
-    right = rec_sigs.select("sig", "record_id", F.col("keys").alias("rec_keys"))
-
-    full = (
-        matched.filter("full").select("pattern", "sig").join(right, "sig")
-        .join(probes.select("pattern", "name_key", "keys"), "pattern").filter(no_cold_hit)
-        .select("name_key", "record_id", F.array_intersect("keys", "rec_keys").alias("hits"),
-                F.lit(True).alias("is_full"))
-    )
-
-    n_full = cold_pairs.filter("is_full").groupBy("name_key").agg(F.count("*").alias("n_full"))
-    most = n_full.agg(F.max("n_full")).first()[0] or 0
-    head = cap + most
-    by_sig = Window.partitionBy("sig").orderBy("record_id")
-    heads = right.withColumn("_pos", F.row_number().over(by_sig)).filter(F.col("_pos") <= head).drop("_pos")
-    by_pattern = Window.partitionBy("pattern").orderBy(F.desc("n_hot"), "record_id")
-    partial_heads = (
-        matched.filter(~F.col("full")).select("pattern", "sig", "n_hot").join(heads, "sig")
-        .withColumn("_pos", F.row_number().over(by_pattern)).filter(F.col("_pos") <= head)
-        .select("pattern", "record_id", "rec_keys", "_pos")
-    )
-    partial = (
-        probes.select("pattern", "name_key", "keys").join(n_full, "name_key", "left")
-        .withColumn("_head", cap + F.coalesce("n_full", F.lit(0)))
-        .join(partial_heads, "pattern").filter((F.col("_pos") <= F.col("_head")) & no_cold_hit)
-        .select("name_key", "record_id", F.array_intersect("keys", "rec_keys").alias("hits"),
-                F.lit(False).alias("is_full"))
-    )
-    return full.unionByName(partial)
-
-
-def candidate_names(
-    names: DataFrame, recs: DataFrame, cap: int = DEFAULT_CAP, hot_postings: int = HOT_POSTINGS
-) -> DataFrame:
-    """(name_key, record_id, hits, is_full) for distinct names against keyed records."""
-    hot = hot_keys(recs, hot_postings)
-    if not hot:
-        return _capped(_shared_pairs(names, recs, lambda c: F.col(c)), cap)
-    hot_lit = F.array(*[F.lit(k) for k in hot])
-
-    def hot_part(c):
-        return F.array_intersect(F.col(c) if isinstance(c, str) else c, hot_lit)
-
-    def cold_part(c):
-        return F.array_except(F.col(c) if isinstance(c, str) else c, hot_lit)
-
-    ensure_checkpoint_dir(names.sparkSession)
-    cold_pairs = _shared_pairs(names, recs, cold_part).checkpoint()
-    pairs = cold_pairs.unionByName(_hot_pairs(names, recs, cold_pairs, hot_part, cold_part, cap))
-    return _capped(pairs, cap)
-
-
 def with_name_ranks(pairs: DataFrame, names: DataFrame, records: DataFrame, phonetic: bool = True) -> DataFrame:
     """Add ``name_rank`` (best rank and record name position) once per distinct name and record.
 
@@ -191,8 +73,7 @@ def with_name_ranks(pairs: DataFrame, names: DataFrame, records: DataFrame, phon
 
 
 def block(
-    subjects: DataFrame, records: DataFrame, cap: int = DEFAULT_CAP,
-    hot_postings: int = HOT_POSTINGS, phonetic: bool = True, compare: bool = False,
+    subjects: DataFrame, records: DataFrame, phonetic: bool = True, compare: bool = False,
 ) -> DataFrame:
     """(subject_id, record_id, matched_keys, is_full): union of candidates over all subject names.
 
@@ -202,13 +83,13 @@ def block(
     """
     variants = subject_variants(subjects)
     names = distinct_names(variants, phonetic)
-    pairs = candidate_names(names, record_keys(records, phonetic), cap, hot_postings)
+    pairs = candidate_names(names, record_keys(records, phonetic))
     extra = []
     if compare:
         pairs = with_name_ranks(pairs, names, records, phonetic)
         extra = [F.map_from_entries(F.collect_set(F.struct("name_key", "name_rank"))).alias("name_ranks")]
     return (
-        spread(variants.select("subject_id", "name_key").distinct().join(pairs, "name_key"), "subject_id")
+        variants.select("subject_id", "name_key").distinct().join(pairs, "name_key")
         .groupBy("subject_id", "record_id")
         .agg(
             F.array_sort(F.array_distinct(F.flatten(F.collect_set("hits")))).alias("matched_keys"),

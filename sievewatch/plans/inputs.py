@@ -2,12 +2,13 @@
 
 Subjects come from ``customer`` and list records from ``part``, so both grow with the
 data. Names are fictional and combined by key arithmetic, which gives hot given names,
-spelling variants, nicknames, particles and initials.
+spelling variants, nicknames, particles and initials. Each block of ``NAME_BLOCK`` keys has
+its own endings, so the vocabulary grows with the keys and matches per subject stay bounded.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewatch.functions.dates import dob
@@ -26,12 +27,23 @@ COUNTRY_TEXT = ("United States", "Great Britain", "Germany", "France", "Russian
                 "Korea, North", "Syrian Arab Republic", "China", "Brazil", "Ruritania")
 COUNTRY_CODE = (*ISO, "ruritania")
 CITIES = ("Arden", "Belmora", "Corvin", "Dunmere", "Eastvale")
+NAME_BLOCK = 400
+
+
+def grown(name: Column, k: Column) -> Column:
+    """The name with the ending of the key's block; the first block has none."""
+    code = F.regexp_replace(F.translate(F.floor(k / NAME_BLOCK).cast("string"), "0123456789", "bdfklmnrsj"), "(.)", "$1a")
+    return F.when(k < NAME_BLOCK, name).otherwise(F.concat(name, code))
+
+
+def sql_grown(name: str, k: str) -> str:
+    return f"(CASE WHEN {k} < {NAME_BLOCK} THEN {name} ELSE {name} || regexp_replace(translate(({k} // {NAME_BLOCK})::VARCHAR, '0123456789', 'bdfklmnrsj'), '(.)', '\\1a', 'g') END)"
 
 
 def subjects(spark: SparkSession, sf_dir: str, df: DataFrame | None = None) -> DataFrame:
     """subject_id, name, aliases, dob, nationality, pob, documents from ``customer``."""
     k = F.col("c_custkey")
-    given, family = pick(GIVEN, k % 24), pick(FAMILY, (k * 7 + 3) % 40)
+    given, family = grown(pick(GIVEN, k % 24), k), grown(pick(FAMILY, (k * 7 + 3) % 40), k)
     iso = pick(ISO, F.col("c_nationkey") % 10)
     y, m, d = 1950 + k % 40, k % 12 + 1, k % 28 + 1
     day = F.format_string("%04d-%02d-%02d", y, m, d)
@@ -50,7 +62,7 @@ def subjects(spark: SparkSession, sf_dir: str, df: DataFrame | None = None) -> D
 def records(spark: SparkSession, sf_dir: str, df: DataFrame | None = None) -> DataFrame:
     """record_id, names, dobs, pobs, nationalities, documents from ``part``."""
     k = F.col("p_partkey")
-    given, family, middle = pick(GIVEN, (k * 5 + 1) % 24), pick(FAMILY, (k * 11 + 2) % 40), pick(MIDDLE, k % 7)
+    given, family, middle = grown(pick(GIVEN, (k * 5 + 1) % 24), k), grown(pick(FAMILY, (k * 11 + 2) % 40), k), pick(MIDDLE, k % 7)
     space = F.lit(" ")
     names = F.filter(F.array(
         F.concat(family, F.lit(", "), given), F.concat(given, space, middle, space, family),
@@ -112,7 +124,7 @@ subj AS (
          iso AS nationality, CASE WHEN k % 6 < 5 THEN {sql_pick(CITIES, 'k % 6')} END AS pob,
          k % 3 = 0 AS has_doc, CASE WHEN k % 2 = 0 THEN 'passport' ELSE 'national_id' END AS doc_type,
          'P' || (k % 500) || 'X' AS doc_key, iso AS doc_country
-  FROM (SELECT c_custkey AS k, {sql_pick(GIVEN, 'c_custkey % 24')} AS given, {sql_pick(FAMILY, '(c_custkey * 7 + 3) % 40')} AS family,
+  FROM (SELECT c_custkey AS k, {sql_grown(sql_pick(GIVEN, 'c_custkey % 24'), 'c_custkey')} AS given, {sql_grown(sql_pick(FAMILY, '(c_custkey * 7 + 3) % 40'), 'c_custkey')} AS family,
                {sql_pick(ISO, 'c_nationkey % 10')} AS iso,
                printf('%04d-%02d-%02d', 1950 + c_custkey % 40, c_custkey % 12 + 1, c_custkey % 28 + 1) AS day FROM customer)),
 svar AS (
@@ -123,7 +135,7 @@ rec AS (
   SELECT 'W' || k AS record_id, k, given, family, middle, {sql_pick(CITIES, 'k % 5')} || ', Ruritania' AS pob,
          CASE WHEN k % 8 <> 0 THEN {sql_pick(COUNTRY_CODE, 'k % 11')} END AS country, k % 2 = 0 AS has_doc,
          'P' || (k % 500) || 'X' AS doc_key, {sql_pick(ISO, 'k % 10')} AS doc_country
-  FROM (SELECT p_partkey AS k, {sql_pick(GIVEN, '(p_partkey * 5 + 1) % 24')} AS given, {sql_pick(FAMILY, '(p_partkey * 11 + 2) % 40')} AS family,
+  FROM (SELECT p_partkey AS k, {sql_grown(sql_pick(GIVEN, '(p_partkey * 5 + 1) % 24'), 'p_partkey')} AS given, {sql_grown(sql_pick(FAMILY, '(p_partkey * 11 + 2) % 40'), 'p_partkey')} AS family,
                {sql_pick(MIDDLE, 'p_partkey % 7')} AS middle FROM part)),
 rvar AS (
   SELECT record_id, 0 AS vpos, family || ', ' || given AS vname FROM rec
@@ -159,13 +171,11 @@ skey AS (SELECT vname, pos, t, key FROM (SELECT vname, unnest(toks) AS t, genera
                                          WHERE vname IN (SELECT vname FROM svar)) JOIN tkey USING (t)),
 rkey AS (SELECT DISTINCT record_id, key FROM (SELECT record_id, unnest(toks) AS t FROM rvar JOIN ntok USING (vname)) JOIN tkey USING (t))"""
 
-# pairs: candidates per subject after the per-name cap.
+# pairs: candidates per subject, all that share a key with one of its names.
 PAIRS_SQL = """
 ngroup AS (SELECT vname, count(DISTINCT pos) AS n FROM skey GROUP BY vname),
-hit AS (SELECT vname, record_id, count(DISTINCT key) AS n_keys, count(DISTINCT pos) AS n_pos FROM skey JOIN rkey USING (key) GROUP BY ALL),
-ranked AS (SELECT vname, record_id, n_keys, n_pos = n AS is_full,
-                  row_number() OVER (PARTITION BY vname, n_pos = n ORDER BY n_keys DESC, record_id) AS rn FROM hit JOIN ngroup USING (vname)),
-kept AS (SELECT vname, record_id, is_full FROM ranked WHERE is_full OR rn <= 200),
+hit AS (SELECT vname, record_id, count(DISTINCT pos) AS n_pos FROM skey JOIN rkey USING (key) GROUP BY ALL),
+kept AS (SELECT vname, record_id, n_pos = n AS is_full FROM hit JOIN ngroup USING (vname)),
 pair AS (SELECT subject_id, record_id, bool_or(is_full) AS is_full FROM svar JOIN kept USING (vname) GROUP BY ALL)"""
 
 # scored: every pair with its term names, score and band.

@@ -38,11 +38,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="sievewatch-checkpoint-")
     sc.setCheckpointDir(folder)
     return folder
-
-
-def spread(df, *keys: str):
-    """Hash-partition by keys over all shuffle partitions.
-
-    A fixed number keeps AQE from merging partitions that are small in bytes but costly to compute on.
-    """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from sievewatch.functions.names import key_groups, name_tokens
 from sievewatch.operators import blocking, crypto, replay
-from sievewatch.operators.decision import freeze, screen, subject_names
+from sievewatch.operators.decision import freeze, screen, subject_names, unkeyed_records
 from sievewatch.operators.pair_terms import score_pairs
 from sievewatch.operators.rules import DEFAULT_RULE, add_rule, load_rule, rule_rows
 from sievewatch.plans.inputs import records, subjects
@@ -100,7 +100,7 @@ def test_no_candidates_and_coverage(spark):
     assert screen(subs, recs, DEFAULT_RULE, other)[0].first()["disposition"] == "CLEAR"
 
 
-def brute_force(spark, subs, recs, cap):
+def brute_force(spark, subs, recs):
     """Candidates per subject by plain loops over all names and records."""
     keyed = lambda df, col: {r[0]: r[1] for r in df.select(col, key_groups(name_tokens(F.col(col)))).distinct().collect()}
     rec_rows = recs.select("record_id", F.explode("names").alias("n"))
@@ -114,24 +114,37 @@ def brute_force(spark, subs, recs, cap):
             want = groups[n]
             keys = {k for g in want for k in g}
             hits = {rid: keys & ks for rid, ks in rec_keys.items() if keys & ks}
-            full = {rid for rid, h in hits.items() if all(set(g) & h for g in want)}
-            partial = sorted((rid for rid in hits if rid not in full), key=lambda rid: (-len(hits[rid]), rid))[:cap]
-            for rid in [*full, *partial]:
-                old = out.setdefault((s["subject_id"], rid), set())
-                old.update(hits[rid])
+            for rid in hits:
+                out.setdefault((s["subject_id"], rid), set()).update(hits[rid])
     return {k: tuple(sorted(v)) for k, v in out.items()}
 
 
-@pytest.mark.parametrize("cap,hot", [(200, 10_000), (3, 12), (1, 1)])
-def test_blocking_equals_brute_force(spark, sf_dir, cap, hot):
-    """The hot-key path returns exactly what the plain inverted index returns."""
+def test_a_partial_match_behind_many_others_is_not_lost(spark):
+    """One record matches on the initial alone, behind 250 that share the family name."""
+    recs = spark.createDataFrame([listed(["I. Petrov"], key="z"), *(listed(["Boris Petrov"], key=f"r{i}") for i in range(250))], RECORD)
+    decisions, banded = screen(spark.createDataFrame([person("Ivan Petrov")], SUBJECT), recs, DEFAULT_RULE)
+    assert tuple(decisions.select("disposition", "auto_closed", "n_candidates").first()) == ("REVIEW", False, 251)
+    assert banded.where("band = 'REVIEW'").count() == 1
+
+
+def test_a_name_without_keys_is_never_closed(spark):
+    """No subject that nothing could be compared with is cleared, and such list names can be counted."""
+    names = ["王小明", "สมชาย", "De La", "X"]
+    recs = spark.createDataFrame([listed([n], key=n) for n in names], RECORD)
+    subs = spark.createDataFrame([person(n, key=i) for i, n in enumerate(names)], SUBJECT)
+    got = screen(subs, recs, DEFAULT_RULE)[0].select("disposition", "auto_closed", "reason").collect()
+    assert [tuple(r) for r in got] == [("REVIEW", False, "name_without_keys")] * 4
+    assert unkeyed_records(recs).count() == 4
+
+
+def test_blocking_equals_brute_force(spark, sf_dir):
     subs = subjects(spark, sf_dir)
     subs = subs.select("subject_id", subject_names(subs).alias("names")).filter("subject_id < 60")
     extra = spark.createDataFrame([(1000 + i, [n]) for i, n in enumerate(["Mohammed", "Mohammed Ali", "Bill William", "X", "", "Ivan Ivan"])], "subject_id long, names array<string>")
     subs = subs.union(extra)
     recs = records(spark, sf_dir).select("record_id", "names")
-    got = {(r["subject_id"], r["record_id"]): tuple(r["matched_keys"]) for r in blocking.block(subs, recs, cap, hot).collect()}
-    assert got == brute_force(spark, subs, recs, cap)
+    got = {(r["subject_id"], r["record_id"]): tuple(r["matched_keys"]) for r in blocking.block(subs, recs).collect()}
+    assert got == brute_force(spark, subs, recs)
 
 
 def test_rule_versions(spark):
