@@ -354,12 +354,10 @@ def unique_dockets(spark, sf_dir):
 @query("bankruptcy_records", f"""WITH {HITS_SQL},
 b AS (SELECT *, CASE WHEN cap = 0 THEN 'strong' ELSE 'weak' END AS m, k % 5 = 0 AS closed, date_diff('day', filed, DATE '2002-01-01') <= 1080 AS recent FROM uni WHERE kind = 'bankruptcy' AND cap IN (0, 1)
       AND (cap = 0 OR contains({core_sql("'Big ' || co || ' Realty'")}, {core_sql('co')}))),
-c AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY filed DESC, pos) AS rn FROM b),
-d AS (SELECT *, m = 'strong' AND NOT closed AND recent AS needs FROM c WHERE rn <= 50),
-e AS (SELECT *, CASE WHEN needs THEN row_number() OVER (PARTITION BY run_id ORDER BY needs DESC, filed DESC, pos) END AS chk FROM d),
-f AS (SELECT *, CASE WHEN chk > 3 THEN 'not_checked' WHEN NOT needs OR k % 11 = 0 THEN 'not_needed' WHEN k % 13 = 0 THEN 'unknown' WHEN k % 2 = 0 AND k % 4 = 0 THEN 'fresh' ELSE 'out_of_date' END AS freshness FROM e)
-SELECT run_id, k AS docket_id, CASE WHEN freshness IN ('not_checked', 'unknown', 'out_of_date') THEN 'weak' ELSE m END AS match,
-  CASE WHEN closed OR (needs AND chk <= 3 AND k % 11 = 0) THEN 'closed' ELSE 'open' END AS status, freshness FROM f""")
+e AS (SELECT *, m = 'strong' AND NOT closed AND recent AS needs FROM b),
+f AS (SELECT *, CASE WHEN NOT needs OR k % 11 = 0 THEN 'not_needed' WHEN k % 13 = 0 THEN 'unknown' WHEN k % 2 = 0 AND k % 4 = 0 THEN 'fresh' ELSE 'out_of_date' END AS freshness FROM e)
+SELECT run_id, k AS docket_id, CASE WHEN freshness IN ('unknown', 'out_of_date') THEN 'weak' ELSE m END AS match,
+  CASE WHEN closed OR (needs AND k % 11 = 0) THEN 'closed' ELSE 'open' END AS status, freshness FROM f""")
 def bankruptcy_records(spark, sf_dir):
     k = F.col("o_orderkey")
     details = table(spark, sf_dir, "orders").select(
@@ -369,8 +367,8 @@ def bankruptcy_records(spark, sf_dir):
     return out.select("run_id", "docket_id", "match", "status", "freshness")
 
 
-@query("civil_records", f"""WITH {HITS_SQL}, c AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY filed DESC, pos) AS rn FROM uni WHERE kind = 'federal_civil')
-SELECT run_id, k AS docket_id, CASE WHEN k % 4 = 1 OR (cap = 0 AND {core_sql("co || ', et al.'")} = {core_sql('co')}) THEN 'strong' ELSE 'weak' END AS match FROM c WHERE rn <= 50""")
+@query("civil_records", f"""WITH {HITS_SQL}
+SELECT run_id, k AS docket_id, CASE WHEN k % 4 = 1 OR (cap = 0 AND {core_sql("co || ', et al.'")} = {core_sql('co')}) THEN 'strong' ELSE 'weak' END AS match FROM uni WHERE kind = 'federal_civil'""")
 def civil_records(spark, sf_dir):
     return public_records.civil_records(submissions(spark, sf_dir), _hits(spark, sf_dir)).select("run_id", "docket_id", "match")
 
@@ -405,7 +403,7 @@ h AS (SELECT run_id, mine, sam_number, max(w) AS matched_on FROM (SELECT run_id,
 r AS (SELECT run_id, sam_number, matched_on, CASE WHEN k % 10 <> 7 AND mine IS NOT NULL AND state = mine AND country IN ('USA', 'US') THEN 'strong' ELSE 'weak' END AS match,
   CASE WHEN ended < DATE '2002-01-01' THEN 'terminated' ELSE 'active' END AS status, mine IS NOT NULL AND state <> '' AND state <> mine AS state_conflict, active FROM h JOIN ex USING (sam_number)),
 q AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY match = 'weak', active DESC, sam_number) AS rank, count(*) OVER (PARTITION BY run_id) AS total FROM r)
-SELECT run_id, sam_number, matched_on, match, status, state_conflict, rank, total FROM q WHERE rank <= 50""")
+SELECT run_id, sam_number, matched_on, match, status, state_conflict, rank, total FROM q""")
 def exclusion_matches(spark, sf_dir):
     ex = _exclusions(spark, sf_dir)
     nothing = producers.free_email_evidence(submissions(spark, sf_dir), AS_OF)

@@ -274,7 +274,10 @@ def alert_rate(spark, sf_dir):
     return evaluate.alert_rate(_decisions(spark, sf_dir)[1])
 
 
-@query("time_to_disposition")
+@query("time_to_disposition", """
+WITH f AS (SELECT o_orderkey, o_orderdate, min(l_shipdate) AS first FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_shipdate >= o_orderdate GROUP BY ALL),
+h AS (SELECT hours, row_number() OVER (ORDER BY hours) AS rn, count(*) OVER () AS n FROM (SELECT epoch_us(first::TIMESTAMP - o_orderdate::TIMESTAMP) / 3600000000.0 AS hours FROM f))
+SELECT count(*) AS disposed, min(hours) FILTER (WHERE rn >= 0.5 * n) AS median_hours, min(hours) FILTER (WHERE rn >= 0.95 * n) AS p95_hours FROM h""")
 def time_to_disposition(spark, sf_dir):
     o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     decided = o.select(F.col("o_orderkey").alias("decision_id"), F.col("o_orderdate").alias("decided_at"))
