@@ -8,6 +8,7 @@ so key building is a narrow projection whatever the table size.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -68,18 +69,53 @@ LATIN_SPECIAL = {
     "ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "þ": "th", "ł": "l", "ı": "i",
     "ħ": "h", "ŋ": "ng", "ə": "e", "’": "'", "‘": "'", "–": "-", "—": "-",
 }
+# Hebrew letters, and letters whose Unicode name misleads about their sound.
+HEBREW = {
+    "א": "a", "ב": "b", "ג": "g", "ד": "d", "ה": "h", "ו": "v", "ז": "z", "ח": "ch", "ט": "t", "י": "y", "כ": "k", "ך": "k", "ל": "l",
+    "מ": "m", "ם": "m", "נ": "n", "ן": "n", "ס": "s", "ע": "a", "פ": "p", "ף": "f", "צ": "ts", "ץ": "ts", "ק": "k", "ר": "r", "ש": "sh", "ת": "t",
+}
+SOUNDS = {"ո": "o", "ձ": "dz", "ծ": "ts", "ც": "ts", "ძ": "dz", "წ": "ts", "ხ": "kh", "խ": "kh", "ց": "ts", "ջ": "j", "ჯ": "j", "ン": "n", "ん": "n"}
+
+
+def _named_letters() -> dict[str, str]:
+    """Letters of scripts whose Unicode names spell their sound: kana and Indic syllables, Georgian, Armenian, Thai."""
+    table = {}
+    for low, high in ((0x3041, 0x3100), (0x0900, 0x0980), (0x0980, 0x0A00), (0x0B80, 0x0C00), (0x10D0, 0x10FB), (0x0561, 0x0587), (0x0E01, 0x0E4E)):
+        for ch in map(chr, range(low, high)):
+            words = unicodedata.name(ch, "").split()
+            if "LETTER" in words[:-1] or "VOWEL" in words and "SIGN" in words[:-1] or "CHARACTER" in words[:-1]:
+                sound = words[-1] if words[0] != "THAI" else words[2] if words[2] != "SARA" else words[3]
+                if words[0] in ("GEORGIAN", "ARMENIAN", "THAI") and words[2] != "SARA":
+                    # the name begins with the sound: its consonants, or a vowel
+                    sound = re.match("[AEIOU]|[^AEIOU]+", sound)[0]
+                table[ch] = sound.lower()
+    return table | SOUNDS
+
+
+def hangul(ch: Column) -> Column:
+    """A Hangul syllable as initial, vowel and final, by the arithmetic of its code point; NULL for other characters."""
+    initial = ["g", "kk", "n", "d", "tt", "r", "m", "b", "pp", "s", "ss", "", "j", "jj", "ch", "k", "t", "p", "h"]
+    vowel = ["a", "ae", "ya", "yae", "eo", "e", "yeo", "ye", "o", "wa", "wae", "oe", "yo", "u", "wo", "we", "wi", "yu", "eu", "ui", "i"]
+    final = ["", "k", "k", "ks", "n", "nj", "n", "t", "l", "lk", "lm", "lp", "ls", "lt", "lp", "l", "m", "p", "ps", "t", "t", "ng", "t", "t", "k", "t", "p", "t"]
+    at = F.ascii(ch) - 0xAC00
+
+    def part(values: list[str], i: Column) -> Column:
+        return F.element_at(literal_array(values), (i + 1).cast("int"))
+
+    spelt = F.concat(part(initial, F.floor(at / 588)), part(vowel, F.pmod(F.floor(at / 28), F.lit(21))), part(final, F.pmod(at, F.lit(28))))
+    return F.when(at.between(0, 11171), spelt)
 
 
 @lru_cache(maxsize=1)
 def _char_table() -> dict[str, str]:
-    """One character -> ASCII, built from Unicode decompositions plus the script tables."""
+    """One character -> ASCII, built from Unicode decompositions and letter names plus the script tables."""
     table: dict[str, str] = {}
     for code in list(range(0xC0, 0x250)) + list(range(0x1E00, 0x1F00)):
         ch = chr(code)
         base = "".join(c for c in unicodedata.normalize("NFKD", ch) if c.isascii() and c.isalpha())
         if base:
             table[ch] = base
-    for source in (CYRILLIC, GREEK, ARABIC, LATIN_SPECIAL):
+    for source in (CYRILLIC, GREEK, ARABIC, LATIN_SPECIAL, HEBREW, _named_letters()):
         for ch, out in source.items():
             table[ch] = out
             if ch.upper() != ch and len(ch.upper()) == 1:
@@ -116,7 +152,7 @@ def ascii_fold(c: Column) -> Column:
     multi = {k: v for k, v in _char_table().items() if len(v) != 1}
     plain = F.translate(F.regexp_replace(c, r"\p{M}+", ""), source, target)
     chars = F.transform(
-        F.split(plain, ""), lambda ch: F.coalesce(F.try_element_at(literal_map(multi), ch), ch)
+        F.split(plain, ""), lambda ch: F.coalesce(F.try_element_at(literal_map(multi), ch), hangul(ch), ch)
     )
     return F.when(c.rlike(r"[^\x00-\x7F]"), F.array_join(chars, "")).otherwise(c)
 

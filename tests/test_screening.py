@@ -129,7 +129,7 @@ def test_a_partial_match_behind_many_others_is_not_lost(spark):
 
 def test_a_name_without_keys_is_never_closed(spark):
     """No subject that nothing could be compared with is cleared, and such list names can be counted."""
-    names = ["王小明", "สมชาย", "De La", "X"]
+    names = ["王小明", "李雷", "De La", "X"]
     recs = spark.createDataFrame([listed([n], key=n) for n in names], RECORD)
     subs = spark.createDataFrame([person(n, key=i) for i, n in enumerate(names)], SUBJECT)
     got = screen(subs, recs, DEFAULT_RULE)[0].select("disposition", "auto_closed", "reason").collect()
@@ -137,6 +137,15 @@ def test_a_name_without_keys_is_never_closed(spark):
     assert unkeyed_records(recs).count() == 4
 
 
+@pytest.mark.parametrize("native,latin", [
+    ("Иван Петров", "Ivan Petrov"), ("Γιωργος", "Giorgos"), ("김철수", "Gimcheolsu"), ("タナカ ゆき", "Yuki Tanaka"), ("גד דן", "Gad Dan"),
+    ("გიორგი მაისურაძე", "Giorgi Maisuradze"), ("Արմեն", "Armen"), ("राजेश कुमार", "Rajesha Kumara"), ("สมชาย", "Samchai")])
+def test_scripts_meet_their_romanization(spark, native, latin):
+    """A list name in another script shares keys with the romanized subject name, so it is a candidate."""
+    recs, subs = spark.createDataFrame([listed([native])], RECORD), spark.createDataFrame([person(latin)], SUBJECT)
+    assert screen(subs, recs, DEFAULT_RULE)[0].first()["n_candidates"] == 1
+
+
 def test_blocking_equals_brute_force(spark, sf_dir):
     subs = subjects(spark, sf_dir)
     subs = subs.select("subject_id", subject_names(subs).alias("names")).filter("subject_id < 60")
