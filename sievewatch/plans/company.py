@@ -184,13 +184,13 @@ def registry_identity_conflicts(spark, sf_dir):
     return producers.identity_conflicts(submissions(spark, sf_dir), _registry(spark, sf_dir), AS_OF).select("run_id")
 
 
-@query("company_sanctions", f"""WITH {SUBS_SQL}, lst AS (SELECT s_suppkey AS id, {company_sql('s_suppkey * 7')} AS name FROM supplier WHERE s_suppkey % 3 = 0),
+@query("company_sanctions", f"""WITH {SUBS_SQL}, lst AS (SELECT s_suppkey AS id, {company_sql('s_suppkey * 7')} AS name FROM supplier),
 h AS (SELECT run_id, name FROM sub JOIN lst ON {key_sql('company_name')} = {key_sql('name')})
 SELECT run_id, 'sanctions_hit' AS field, upper(name) AS normalized_value FROM h UNION ALL SELECT DISTINCT run_id, 'sanctions_risk_flag', 'true' FROM h
 UNION ALL SELECT run_id, 'sanctions_screened', 'no_hit' FROM sub WHERE run_id NOT IN (SELECT run_id FROM h)""")
 def company_sanctions(spark, sf_dir):
     k = F.col("s_suppkey")
-    listed = table(spark, sf_dir, "supplier").filter(k % 3 == 0).select(k.alias("entry_id"), company(k * 7).alias("name"))
+    listed = table(spark, sf_dir, "supplier").select(k.alias("entry_id"), company(k * 7).alias("name"))
     return producers.company_sanctions(submissions(spark, sf_dir), listed, AS_OF).select("run_id", "field", "normalized_value")
 
 
@@ -255,13 +255,13 @@ def social_evidence(spark, sf_dir):
 
 
 @query("tax_evidence", f"""WITH {SUBS_SQL}, q AS (SELECT run_id, company_name, regexp_replace(tax_id, '\\D', '', 'g') AS f FROM sub WHERE tax_id IS NOT NULL AND country_iso = 'US'),
-t AS (SELECT DISTINCT ON (fein) lpad(((p_partkey % 90 + 10) * 10000000 + p_partkey % 400)::VARCHAR, 9, '0') AS fein, p_partkey % 3 AS st, p_partkey AS pk FROM part WHERE p_partkey < 900 AND p_partkey % 11 <> 0),
+t AS (SELECT DISTINCT ON (fein) lpad(((p_partkey % 90 + 10) * 10000000 + p_partkey % 400)::VARCHAR, 9, '0') AS fein, p_partkey % 3 AS st, p_partkey AS pk FROM part ORDER BY fein, pk),
 j AS (SELECT run_id, company_name, fein, st, pk FROM q LEFT JOIN t ON fein = f AND length(f) = 9)
 SELECT run_id, 'tax_id_status' AS field, CASE WHEN fein IS NULL THEN 'not_found' WHEN st < 2 THEN 'verified' ELSE 'inactive' END AS normalized_value FROM j
 UNION ALL SELECT run_id, 'tax_id_name_match', CASE WHEN {core_sql('company_name')} = {core_sql(company_sql('pk + st // 2'))} THEN 'match' ELSE 'mismatch' END FROM j WHERE fein IS NOT NULL""")
 def tax_evidence(spark, sf_dir):
     k = F.col("p_partkey")
-    records = table(spark, sf_dir, "part").filter((k < 900) & (k % 11 != 0)).select(
+    records = table(spark, sf_dir, "part").select(
         ((k % 90 + 10) * 10000000 + k % 400).cast("string").alias("fein"), pick(("Active", " good standing", "dissolved"), k % 3).alias("status"),
         company(k + F.floor((k % 3) / 2)).alias("registered_name"), F.lit(None).cast("string").alias("entity_type"), F.lit(None).cast("string").alias("jurisdiction"), k.alias("k"))
     records = records.groupBy("fein").agg(F.min_by(F.struct("status", "registered_name", "entity_type", "jurisdiction"), "k").alias("r")).select("fein", "r.*")

@@ -71,13 +71,13 @@ def retained_snapshots(spark, sf_dir):
 
 
 @query("new_list_versions", """
-WITH f AS (SELECT source, sha256(text) AS content_sha256, doc_id FROM documents WHERE doc_id % 2 = 0),
-s AS (SELECT source, arg_max(sha256(text), doc_id) AS last FROM documents WHERE doc_id % 3 = 0 GROUP BY source)
+WITH f AS (SELECT source, sha256(text) AS content_sha256, doc_id FROM documents),
+s AS (SELECT source, arg_max(sha256(text), doc_id) AS last FROM documents GROUP BY source)
 SELECT f.source, doc_id, f.content_sha256 FROM f LEFT JOIN s USING (source) WHERE f.content_sha256 IS DISTINCT FROM last""")
 def new_list_versions(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("source", F.col("text").cast("binary").alias("content"), F.col("doc_id").alias("retrieved_at"))
-    stored = docs.filter(F.col("retrieved_at") % 3 == 0).select("source", F.sha2("content", 256).alias("content_sha256"), "retrieved_at")
-    fresh = lists.new_snapshots(docs.filter(F.col("retrieved_at") % 2 == 0), stored)
+    stored = docs.select("source", F.sha2("content", 256).alias("content_sha256"), "retrieved_at")
+    fresh = lists.new_snapshots(docs, stored)
     return fresh.select("source", F.col("retrieved_at").alias("doc_id"), "content_sha256")
 
 
@@ -135,7 +135,7 @@ def _runs(spark, sf_dir):
         F.when(F.col("o_totalprice") > 400000, "MATCH").when(F.col("o_totalprice") > 100000, "REVIEW").otherwise("CLEAR").alias("disposition"),
         (F.col("o_totalprice") <= 100000).alias("auto_closed"), F.round(F.col("o_totalprice") / 500000, 4).alias("top_score"))
     li = table(spark, sf_dir, "lineitem")
-    human = li.filter("l_linenumber <= 2").groupBy("l_orderkey", "l_linenumber", "l_shipdate").agg(F.max("l_returnflag").alias("f")).select(
+    human = li.groupBy("l_orderkey", "l_linenumber", "l_shipdate").agg(F.max("l_returnflag").alias("f")).select(
         (F.col("l_orderkey") + 1_000_000_000).alias("decision_id"), F.col("l_linenumber").alias("disposition_id"), F.col("l_shipdate").alias("created_at"),
         F.when(F.col("f") == "R", "MATCH").when(F.col("f") == "A", "CLEAR").otherwise("REVIEW").alias("disposition"))
     cands = li.select(F.col("l_orderkey").alias("run_id"), F.concat(F.lit("list"), (F.col("l_suppkey") % 4).cast("string")).alias("source"))
@@ -147,7 +147,7 @@ r AS (SELECT o_orderkey AS run_id, o_custkey AS subject_id, o_orderdate AS creat
         CASE o_orderkey % 3 WHEN 0 THEN 'monitoring' WHEN 1 THEN 'intake' ELSE 'kyb_officer' END AS trigger FROM orders),
 d AS (SELECT o_orderkey AS run_id, o_orderkey + 1000000000 AS decision_id, CASE WHEN o_totalprice > 400000 THEN 'MATCH' WHEN o_totalprice > 100000 THEN 'REVIEW' ELSE 'CLEAR' END AS system_disposition,
         round(o_totalprice / 500000, 4) AS top_score FROM orders WHERE o_orderstatus <> 'P'),
-h0 AS (SELECT l_orderkey + 1000000000 AS decision_id, l_linenumber, l_shipdate, max(l_returnflag) AS f FROM lineitem WHERE l_linenumber <= 2 GROUP BY ALL),
+h0 AS (SELECT l_orderkey + 1000000000 AS decision_id, l_linenumber, l_shipdate, max(l_returnflag) AS f FROM lineitem GROUP BY ALL),
 h AS (SELECT decision_id, CASE f WHEN 'R' THEN 'MATCH' WHEN 'A' THEN 'CLEAR' ELSE 'REVIEW' END AS human_disposition
       FROM (SELECT *, row_number() OVER (PARTITION BY decision_id ORDER BY l_shipdate DESC, l_linenumber) AS n FROM h0) WHERE n = 1)"""
 
@@ -267,10 +267,10 @@ def review_upserts(spark, sf_dir):
 @query("audit_log_with_actor", """
 SELECT event_id, CASE WHEN user_id % 3 = 0 AND c_name IS NOT NULL THEN c_name WHEN user_id % 3 = 1 AND s_name IS NOT NULL THEN s_name
   WHEN user_id % 3 = 1 THEN 'integration' ELSE 'system' END AS actor
-FROM events LEFT JOIN customer ON c_custkey = user_id AND user_id % 3 = 0 LEFT JOIN supplier ON s_suppkey = user_id AND user_id % 3 = 1 WHERE event_type = 'signup'""")
+FROM events LEFT JOIN customer ON c_custkey = user_id AND user_id % 3 = 0 LEFT JOIN supplier ON s_suppkey = user_id AND user_id % 3 = 1""")
 def audit_log_with_actor(spark, sf_dir):
     u = F.col("user_id")
-    events = table(spark, sf_dir, "events").filter("event_type = 'signup'").select(
+    events = table(spark, sf_dir, "events").select(
         "event_id", F.when(u % 3 == 0, u).alias("operator_id"), F.when(u % 3 == 1, u).alias("api_client_id"))
     ops = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("operator_id"), F.col("c_name").alias("email"))
     clients = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("api_client_id"), F.col("s_name").alias("name"))
