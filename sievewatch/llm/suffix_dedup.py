@@ -32,9 +32,9 @@ from sievewatch.llm.common import stage, text_of
 LEAST = 400
 GRAM = 160
 #: Bytes of text hashed at a time, unless one document is longer.
-BUFFER = 4 << 20
+BUFFER = 2 << 20
 #: Bytes of stretches that go through one transform, and the most distinct stretches of an anchor in one block.
-TRANSFORM = 3 << 20
+TRANSFORM = 1 << 20
 BLOCK_ROWS = 512
 
 _OCCURRENCES = "id long, text_hash long, anchor long, stretch long, start int, n int"
@@ -208,13 +208,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, text_hash, s, e): byte ranges to remove, with overlaps."""
     slim = _slim(docs, id_col, text_col)
     found = slim.where(F.length("text") >= least).mapInArrow(_finder(least), _OCCURRENCES)
-    counts = found.groupBy("anchor").agg(F.count("*").alias("seen")).where("seen > 1")
-    shared = stage(found.join(counts.select("anchor"), "anchor"), "shared-anchors")
+    # joined tables are written first: AQE splits a hot key only where both sides come straight from a shuffle
+    counts = stage(found.groupBy("anchor").agg(F.count("*").alias("seen")).where("seen > 1").select("anchor"), "repeated-anchors")
+    shared = stage(found.join(counts, "anchor"), "shared-anchors")
     distinct = shared.groupBy("anchor", "stretch").agg(F.count("*").alias("copies"), F.min(F.struct("id", "text_hash", "start", "n")).alias("one"))
     distinct = stage(distinct, "stretches")
     copied = distinct.where("copies > 1").select("anchor", "stretch")
     whole = shared.join(copied, ["anchor", "stretch"]).select("id", "text_hash", F.col("start").alias("s"), F.expr(f"start + n + {least - 1}").alias("e"))
-    varied = distinct.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    varied = stage(distinct.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "varied-anchors")
     blocks = F.ceil(F.col("kinds") / BLOCK_ROWS)
     wanted = (
         distinct.join(varied, "anchor")
