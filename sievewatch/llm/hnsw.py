@@ -128,34 +128,41 @@ def search(graph: Graph, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np
 
 
 def _beam(vectors: np.ndarray, layer: np.ndarray, queries: np.ndarray, start: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """Beam search of all queries in step: each opens its nearest unopened node until all of its beam is open."""
+    """Beam search of all queries in step: each opens its nearest unopened node until all of its beam is open.
+
+    A beam is kept unordered: a node that is nearer than its farthest one takes that place.
+    """
     q = len(queries)
-    ids, near, shut = np.full((q, beam), -1, np.int32), np.full((q, beam), -np.inf, np.float32), np.zeros((q, beam), bool)
+    ids, near = np.full((q, beam), -1, np.int32), np.full((q, beam), -np.inf, np.float32)
+    shut = near.copy()  # products of unopened nodes
     seen = np.zeros((q, len(layer)), bool)
-    ids[:, 0], shut[:, 0] = start[:, 0], True
-    near[:, 0] = np.einsum("rd,rd->r", queries, vectors[start[:, 0]])
+    ids[:, 0] = start[:, 0]
+    shut[:, 0] = near[:, 0] = np.einsum("rd,rd->r", queries, vectors[start[:, 0]])
     seen[np.arange(q), start[:, 0]] = True
     live = np.arange(q)
     while len(live):
-        open_near = np.where(shut[live], near[live], -np.inf)
-        best = open_near.argmax(axis=1)
-        on = np.isfinite(open_near[np.arange(len(live)), best])
+        best = shut[live].argmax(axis=1)
+        on = np.isfinite(shut[live, best])
         live, best = live[on], best[on]
-        if not len(live):
-            break
-        shut[live, best] = False
+        shut[live, best] = -np.inf
         around = layer[ids[live, best]]
-        fresh = (around >= 0) & ~seen[live[:, None], around]
-        row, col = np.nonzero(fresh)
+        row, col = np.nonzero((around >= 0) & ~seen[live[:, None], around])
         nodes, of = around[row, col], live[row]
         seen[of, nodes] = True
-        sims = np.full(around.shape, -np.inf, np.float32)
-        sims[row, col] = np.einsum("rd,rd->r", vectors[nodes], queries[of])
-        all_near = np.concatenate([near[live], sims], axis=1)
-        top = np.argpartition(-all_near, beam - 1, axis=1)[:, :beam]
-        near[live] = np.take_along_axis(all_near, top, axis=1)
-        ids[live] = np.take_along_axis(np.concatenate([ids[live], around], axis=1), top, axis=1)
-        shut[live] = np.take_along_axis(np.concatenate([shut[live], fresh], axis=1), top, axis=1)
+        sims = np.einsum("rd,rd->r", vectors[nodes], queries[of])
+        better = sims > near[live].min(axis=1)[row]
+        nodes, of, sims = nodes[better], of[better], sims[better]
+        turn = np.arange(len(of)) - np.searchsorted(of, of)  # the first, second, ... of its query
+        order = np.argsort(turn, kind="stable")
+        cuts = np.searchsorted(turn[order], np.arange(int(turn.max(initial=-1)) + 2))
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            now = order[a:b]
+            r = of[now]
+            slot = near[r].argmin(axis=1)
+            fits = sims[now] > near[r, slot]
+            now, r, slot = now[fits], r[fits], slot[fits]
+            ids[r, slot] = nodes[now]
+            near[r, slot] = shut[r, slot] = sims[now]
     order = np.argsort(-near, axis=1, kind="stable")
     near = np.take_along_axis(near, order, axis=1)
     return np.where(np.isfinite(near), np.take_along_axis(ids, order, axis=1), -1), near
