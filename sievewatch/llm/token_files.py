@@ -7,8 +7,10 @@ groups for a lookup; stripes are read in parallel. Where a file's stream begins
 per file.
 
 Ids come from the tokenizers library. White space never joins tokens in the tokenizer used, so a text is encoded by
-its chunks between ASCII white space, each chunk once as long as the worker remembers it; ``chunked=False`` encodes whole
-texts, for tokenizers that keep white space.
+its chunks between ASCII white space, each chunk once as long as the worker remembers it. Where the tokenizer lowers case
+and marks word ends, chunks are looked up in lower case, a word and the comma or full stop behind it apart, and new
+words go to the library many in a text, whose ids are cut at the word ends. ``chunked=False`` encodes whole texts, for
+tokenizers that keep white space.
 
 Defined cases: a null or empty text is the end id alone; null ids come first, rows with equal ids are put in order of
 their text hash; repeated rows are written each; an empty table gives no rows; further columns are not looked at.
@@ -17,6 +19,7 @@ their text hash; repeated rows are written each; an empty table gives no rows; f
 from __future__ import annotations
 
 import array
+import json
 import os
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -29,17 +32,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sievewatch.llm.common import stage, text_of, work_path, worker_store
+from sievewatch.llm.common import lean, stage, text_batches, text_of, work_path, worker_store
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-REMEMBERED = 500_000
+REMEMBERED = 300_000
+#: New words in one text.
+TOGETHER = 64
 GROUP = 4 << 20
 INDEX_STRIDE = 10_000
 STRIPE_BYTES = 64 << 20
 BLOOM_FALSE_POSITIVES = 0.01
 
 
+def _plain(text: str) -> bool:
+    """Letters that stay single letters in lower case and in composed form."""
+    return text.isalpha() and max(text) < "\u0130"
+
+
 class LibraryEncoder:
     """Texts to ids (little-endian unsigned 32-bit) by the tokenizers library."""
 
@@ -52,18 +62,62 @@ class LibraryEncoder:
         self.tokenizer.no_padding()
         self.chunks: dict[bytes, bytes] = store.setdefault("chunks", {})
         self.chunked = chunked
+        read = json.loads(spec)
+        suffix = read["model"].get("end_of_word_suffix")
+        self.special = tuple(t["content"].encode() for t in read["added_tokens"])
+        # with all three, letters between other characters are one word of their own, whatever their case
+        lowers = '"Lowercase"' in json.dumps(read.get("normalizer"))
+        splits = [x.get("pattern", {}).get("Regex", "") for x in (read.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        self.words = bool(suffix) and lowers and any(r"[\p{L}]+" in x for x in splits)
+        if self.words:
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.ends[[i for t, i in read["model"]["vocab"].items() if t.endswith(suffix)]] = True
 
     def _fresh(self, texts: list[str]) -> list[bytes]:
         return [array.array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _fresh_words(self, words: list[str]) -> list[bytes]:
+        joined = [" ".join(words[at: at + TOGETHER]) for at in range(0, len(words), TOGETHER)]
+        flat = b"".join(self._fresh(joined))
+        cuts = ((np.nonzero(self.ends[np.frombuffer(flat, "<u4")])[0] + 1) * 4).tolist()
+        return [flat[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)] if words else []
+
+    def _split(self, text: str) -> list[bytes]:
+        raw = text.encode()
+        # special tokens have a case of their own, and combining marks compose with some letters of one case only
+        plain = self.words and b"<|" not in raw and (text.isascii() or max(text) < "\u0300")
+        return (raw.lower() if plain else raw).split()
+
+    def _learn(self, new: set[bytes]) -> None:
+        if not self.words:
+            self.chunks.update(zip(new, self._fresh([c.decode() for c in new]), strict=True))
+            return
+        words, marked, rest = {}, [], []
+        for chunk in new:
+            text = chunk.decode()
+            if _plain(text):
+                words[chunk] = text
+            elif text[-1] in ",." and _plain(text[:-1]):
+                marked.append(chunk)
+                words.setdefault(chunk[:-1], text[:-1])
+            else:
+                rest.append(chunk)
+        rest += [b",", b"."]
+        fresh = [c for c in words if c not in self.chunks]
+        self.chunks.update(zip(fresh, self._fresh_words([words[c] for c in fresh]), strict=True))
+        self.chunks.update(zip(rest, self._fresh([c.decode() for c in rest]), strict=True))
+        for chunk in marked:
+            self.chunks[chunk] = self.chunks[chunk[:-1]] + self.chunks[chunk[-1:]]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.chunked:
             return self._fresh(texts)
-        split = [t.encode().split() for t in texts]
+        split = [self._split(t) for t in texts]
         if len(self.chunks) > REMEMBERED:
             self.chunks.clear()
-        new = list({c for chunks in split for c in chunks}.difference(self.chunks))
-        self.chunks.update(zip(new, self._fresh([c.decode() for c in new]), strict=True))
+        new = {c for chunks in split for c in chunks}.difference(self.chunks)
+        if new:
+            self._learn(new)
         return [b"".join(map(self.chunks.__getitem__, chunks)) for chunks in split]
 
 
@@ -99,13 +153,14 @@ def _writer(spec, name: str, chunked: bool) -> Callable:
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", chunked: bool = True) -> None:
     """Write ORC files (id, shard, first, ids) below ``path``, ascending in the id."""
+    text_batches(docs.sparkSession)
     tokenizer = tokenizer or public_tokenizers.path(TOKENIZER)
     with open(tokenizer, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())  # the tokenizer's file, a few MB
     slim = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     slim = slim.withColumn("text_hash", F.xxhash64("text"))
     placed = slim.repartitionByRange("id", "text_hash").sortWithinPartitions("id", "text_hash").select("id", "text")
-    rows = placed.mapInArrow(_writer(spec, tokenizer, chunked), "id long, shard int, first long, ids array<int>")
+    rows = placed.mapInArrow(lean(_writer(spec, tokenizer, chunked)), "id long, shard int, first long, ids array<int>")
     (
         rows.write.option("orc.row.index.stride", INDEX_STRIDE).option("orc.stripe.size", STRIPE_BYTES).option("orc.create.index", "true")
         .option("orc.bloom.filter.columns", "id").option("orc.bloom.filter.fpp", BLOOM_FALSE_POSITIVES).option("compression", "zstd").orc(path)
@@ -134,4 +189,4 @@ def token_file_report(docs: DataFrame, tokenizer: str | None = None, id_col: str
     path = work_path(docs.sparkSession, "token-files")
     write_token_files(docs, path, tokenizer, id_col, text_col)
     read = read_token_files(docs.sparkSession, path)
-    return read.mapInArrow(_checksums, "id long, start long, n_tokens long, ids_crc32 long")
+    return read.mapInArrow(lean(_checksums), "id long, start long, n_tokens long, ids_crc32 long")

@@ -81,6 +81,15 @@ def test_query_columns(make_docs, library):
     assert bpe.bpe_tokens(make_docs([])).count() == 0
 
 
+@pytest.mark.parametrize("chunked", [True, False])
+def test_library_encoder_equals_the_library(library, chunked):
+    texts = [t or "" for t in ODD] + samples() + ["Hello, World. <|ENDOFTEXT|> a<|endoftext|>B, É.", "ª. º, ǅ. ß. ﬁ. İ. I, ,. .,", "J\u030c K\u0327"]
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        encoder = token_files.LibraryEncoder(f.read(), {}, chunked)
+    for text, ids, expected in zip(texts, encoder.encode(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == expected.ids, text
+
+
 def test_token_files_read_back(spark, make_docs, library, tmp_path):
     rows = [(i, t) for i, t in enumerate([*ODD, *samples()[:200]])] + [(3, ODD[3]), (None, "no id")]
     got = token_files.token_file_report(make_docs(rows, "id shard first ids").repartition(5)).collect()
