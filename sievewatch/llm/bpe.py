@@ -31,12 +31,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievewatch.llm.common import text_of, worker_store
+from sievewatch.llm.common import lean, text_batches, text_of, worker_store
 
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes of text encoded at a time, and entries remembered for chunks and words.
 GROUP_BYTES = 2 << 20
-REMEMBERED = 300_000
+REMEMBERED = 80_000
 #: Words walked at a time.
 WALK = 1 << 15
 SYMBOLS = 512
@@ -312,19 +312,18 @@ def _runner(shared, name: str, with_ids: bool) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value, worker_store(f"bpe-{name}"))
         for batch in batches:
-            count, digest, back, kept = [], [], [], []
-            for texts in grouped(t.as_py() for t in batch.column(batch.num_columns - 1)):
-                for ids in encoder.encode(texts):
-                    count.append(len(ids) // 4)
-                    digest.append(hashlib.sha256(ids).hexdigest())
-                    back.append(hashlib.sha256(encoder.decode(ids)).hexdigest())
-                    if with_ids:
-                        kept.append(np.frombuffer(ids, "<u4").astype(np.int32))
-            made = [pa.array(count, pa.int64()), pa.array(digest, pa.string()), pa.array(back, pa.string())]
-            names = ["n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                made, names = [*made, pa.array(kept, pa.list_(pa.int32()))], [*names, "ids"]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], *names])
+            at = 0
+            for texts in grouped(t.as_py() for t in batch.column(1)):  # results go back in batches of this size
+                ids = encoder.encode(texts)
+                sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+                digests = [pa.array([hashlib.sha256(x).hexdigest() for x in made]) for made in (ids, map(encoder.decode, ids))]
+                columns, names = [batch.column(0).slice(at, len(ids)), pa.array(sizes), *digests], ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+                at += len(ids)
 
     return run
 
@@ -332,8 +331,9 @@ def _runner(shared, name: str, with_ids: bool) -> Callable:
 def bpe_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """(id_col, n_tokens, ids_sha256, decoded_sha256[, ids]) of each row. The automaton is read on the driver and broadcast:
     its size is the vocabulary's."""
+    text_batches(docs.sparkSession)
     path = path or public_tokenizers.path(TOKENIZER)
     shared = docs.sparkSession.sparkContext.broadcast(Automaton.from_file(path))
     slim = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return slim.mapInArrow(_runner(shared, path, with_ids), schema).withColumnRenamed("id", id_col)
+    return slim.mapInArrow(lean(_runner(shared, path, with_ids)), schema).withColumnRenamed("id", id_col)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import types
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,3 +45,32 @@ def worker_store(name: str) -> dict:
     Functions travel by value, so a module's own globals would last for one task only.
     """
     return sys.modules.setdefault(f"_llm_store_{name}", types.ModuleType(name)).__dict__.setdefault("held", {})
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches, as rows of text are large; a session that has set its own size keeps it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
+def lean(run: Callable) -> Callable:
+    """A function over batches that gives memory back when it ends: workers are reused, and keep what they once held."""
+
+    def wrapped(batches: Iterable) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+                if trim is not None:
+                    trim(0)
+
+    return wrapped

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sievewatch.llm.common import stage, text_of
+from sievewatch.llm.common import lean, stage, text_batches, text_of
 from sievewatch.llm.components import connected_components, forest
 
 SEED = 42
@@ -77,9 +77,10 @@ def _fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_hash, fp) of each row; ``text_hash`` tells rows with the same id apart."""
+    text_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     slim = slim.select("id", F.xxhash64("text").alias("text_hash"), "text")
-    return slim.mapInArrow(_fingerprints, "id long, text_hash long, fp long")
+    return slim.mapInArrow(lean(_fingerprints), "id long, text_hash long, fp long")
 
 
 def bit_order(fps: DataFrame) -> list[int]:
@@ -235,7 +236,7 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
     """(id, fingerprint as 16 hex digits, component_id: the smallest id reachable)."""
     classes = stage(simhash_classes(docs, id_col, text_col, budget), "classes")
-    least = classes.groupBy("class").agg(F.min("id").alias("component_id"))
+    least = stage(classes.groupBy("class").agg(F.min("id").alias("component_id")), "class-ids")
     return classes.join(least, "class").select("id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievewatch.llm.bwt import repeated_starts
-from sievewatch.llm.common import stage, text_of
+from sievewatch.llm.common import lean, stage, text_batches, text_of
 
 LEAST = 400
 GRAM = 160
@@ -206,8 +206,9 @@ def _same_row(left: str, right: str) -> Column:
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """(id, text_hash, s, e): byte ranges to remove, with overlaps."""
+    text_batches(docs.sparkSession)
     slim = _slim(docs, id_col, text_col)
-    found = slim.where(F.length("text") >= least).mapInArrow(_finder(least), _OCCURRENCES)
+    found = slim.where(F.length("text") >= least).mapInArrow(lean(_finder(least)), _OCCURRENCES)
     # joined tables are written first: AQE splits a hot key only where both sides come straight from a shuffle
     counts = stage(found.groupBy("anchor").agg(F.count("*").alias("seen")).where("seen > 1").select("anchor"), "repeated-anchors")
     shared = stage(found.join(counts, "anchor"), "shared-anchors")
@@ -227,8 +228,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .agg(F.collect_list(F.struct("anchor", "block", "start", "n")).alias("wanted"))
     )
     texts = slim.alias("d").join(wanted.alias("w"), _same_row("d", "w")).select("w.id", "w.text_hash", "d.text", "w.wanted")
-    texts = texts.mapInArrow(_cutter(least), _STRETCHES)
-    expanded = texts.repartition("anchor", "block").sortWithinPartitions("anchor", "block").mapInArrow(_expander(least), _SPANS)
+    texts = texts.mapInArrow(lean(_cutter(least)), _STRETCHES)
+    expanded = texts.repartition("anchor", "block").sortWithinPartitions("anchor", "block").mapInArrow(lean(_expander(least)), _SPANS)
     return whole.unionAll(expanded)
 
 
@@ -285,7 +286,7 @@ def _report(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def removal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of each row."""
     rows = _with_spans(docs, id_col, text_col, least).select("id", "text", "spans")
-    return rows.mapInArrow(_report, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(lean(_report), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def _rewrite(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,5 +301,5 @@ def _rewrite(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """``docs`` with repeated passages cut out of the text; bytes of a character that was cut in two go as well."""
     rows = _with_spans(docs, id_col, text_col, least).select("row", "text", "spans", "no_text")
-    done = rows.mapInArrow(_rewrite, f"row {rows.schema['row'].dataType.simpleString()}, text string")
+    done = rows.mapInArrow(lean(_rewrite), f"row {rows.schema['row'].dataType.simpleString()}, text string")
     return done.select(*((F.col("text") if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))

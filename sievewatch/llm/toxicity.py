@@ -32,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievewatch.llm.common import stage, text_of
+from sievewatch.llm.common import lean, stage, text_batches, text_of
 
 THRESHOLD = 0.3
 BUCKETS = 1 << 21
@@ -45,7 +45,7 @@ STEMS = (4, 5, 6, 7)
 #: Cost of a token, so that segments end where nothing speaks for them.
 STEP = 0.3
 #: Distinct tokens held before counts are handed on, and scores remembered by a task.
-HELD = 400_000
+HELD = 200_000
 
 _KEEP = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
@@ -55,9 +55,14 @@ def tokens(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(_KEEP).split()
 
 
+def level(token: bytes, k: int) -> int:
+    """Bucket of the token's first ``k`` bytes; of the whole token if ``k`` is 0."""
+    return zlib.crc32(token[:k] if k else token, k) % BUCKETS
+
+
 def levels(token: bytes) -> list[int]:
     """Buckets of the token's first bytes, the shortest first, and of the token."""
-    return [*(zlib.crc32(token[:k], k) % BUCKETS for k in STEMS), zlib.crc32(token) % BUCKETS]
+    return [level(token, k) for k in (*STEMS, 0)]
 
 
 def _counter(groups: int, known: Broadcast | None) -> Callable:
@@ -67,10 +72,9 @@ def _counter(groups: int, known: Broadcast | None) -> Callable:
         sums = np.zeros((groups, BUCKETS), np.int32)
         for group, counter in enumerate(held):
             if counter:
-                at = np.array([levels(t) for t in counter])
-                n = np.fromiter(counter.values(), np.int64, len(counter))
-                for level in range(at.shape[1]):
-                    sums[group] += np.bincount(at[:, level], n, BUCKETS).astype(np.int32)
+                n = np.fromiter(counter.values(), np.int32, len(counter))
+                for k in (*STEMS, 0):
+                    np.add.at(sums[group], np.fromiter((level(t, k) for t in counter), np.int32, len(counter)), n)
         seen = sums.any(axis=0)
         if known is not None:
             seen &= np.unpackbits(known.value).astype(bool)
@@ -94,7 +98,7 @@ def _counter(groups: int, known: Broadcast | None) -> Callable:
 def _counted(texts: DataFrame, groups: int, known: Broadcast | None = None) -> np.ndarray:
     """Counts (groups x BUCKETS) of rows (text, part: 0 to groups - 1); at most BUCKETS rows reach the driver."""
     names = [f"g{i}" for i in range(groups)]
-    rows = texts.mapInArrow(_counter(groups, known), "bucket int, " + ", ".join(f"{n} int" for n in names))
+    rows = texts.mapInArrow(lean(_counter(groups, known)), "bucket int, " + ", ".join(f"{n} int" for n in names))
     got = rows.groupBy("bucket").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
     out = np.zeros((groups, BUCKETS))
     for i, name in enumerate(names):
@@ -288,6 +292,7 @@ def train_rows(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxi
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: int = 2) -> tuple[Broadcast, Calibration]:
     """The broadcast log-odds and the calibration. Labels are learnt from, and prior counts taken over all of ``docs``."""
+    text_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     train = train_rows(labels, id_col, label_col, held_out)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
@@ -304,7 +309,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     part, whole = LogOdds.fit(corpus, rest[0], toxic[0]), LogOdds.fit(corpus, rest[:2].sum(axis=0), toxic.sum(axis=0))
     calibration = train.where(F.col("fold") == last).orderBy(F.xxhash64("label_id"), "label_id").limit(MAX_CALIBRATION)
     seen = slim.join(F.broadcast(calibration), slim["id"] == calibration["label_id"]).select("text", "label")
-    rows = seen.mapInArrow(_calibrator(sc.broadcast(astuple(part))), "label int, m long, found array<double>").collect()
+    rows = seen.mapInArrow(lean(_calibrator(sc.broadcast(astuple(part)))), "label int, m long, found array<double>").collect()
     return sc.broadcast(astuple(whole)), Calibration.fit([(r.label, r.m, list(r.found)) for r in rows])
 
 
@@ -312,18 +317,18 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """(id, held_out, score, n_tokens, passages) of every row; a passage has its score and first and last token."""
     shared, law = fit(docs, labels, id_col, text_col, label_col, held_out)
     known = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(fold(id_col) == held_out, F.lit(False)).alias("held_out"), text_of(text_col).alias("text"))
-    return known.mapInArrow(_scorer(shared, law), _RESULT)
+    return known.mapInArrow(lean(_scorer(shared, law)), _RESULT)
 
 
-def _rejecter(shared: Broadcast, law: Calibration, threshold: float) -> Callable:
+def _rejecter(shared: Broadcast, law: Calibration, threshold: float, text_at: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = _Scores(LogOdds(*shared.value))
         for batch in batches:
             keep = []
-            for text in batch.column(0):
-                m, found = _scan(text.as_py(), scores)
+            for text in batch.column(text_at):
+                m, found = _scan(str(text.as_py() or ""), scores)
                 keep.append(law.probability([s for s, _, _ in found], m) < threshold)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[1:]], names=batch.schema.names[1:])
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -331,5 +336,4 @@ def _rejecter(shared: Broadcast, law: Calibration, threshold: float) -> Callable
 def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows whose score reaches ``threshold``; rows are judged where they are read, nothing is shuffled."""
     shared, law = fit(docs, labels, id_col, text_col)
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.select(text_of(text_col).alias("_tox_text"), *columns).mapInArrow(_rejecter(shared, law, threshold), docs.schema)
+    return docs.mapInArrow(lean(_rejecter(shared, law, threshold, docs.columns.index(text_col))), docs.schema)
