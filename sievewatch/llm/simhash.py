@@ -242,7 +242,12 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def keep_one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET) -> DataFrame:
     """The rows of ``docs`` with one left of each class: the smallest id (null last), then the smallest text hash."""
-    classes = stage(simhash_classes(docs, id_col, text_col, budget), "classes")
+    return keep_first(docs, simhash_classes(docs, id_col, text_col, budget), id_col, text_col)
+
+
+def keep_first(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The first row of each class of ``classes`` (id, text_hash, class)."""
+    classes = stage(classes, "classes")
     first = classes.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")).alias("first"))
     first = first.select(F.col("first.id").alias("_keep_id"), F.col("first.text_hash").alias("_keep_hash")).distinct()
     first = stage(first, "kept")
