@@ -44,6 +44,8 @@ PRIOR, CORPUS = 3.0, 0.1
 STEMS = (4, 5, 6, 7)
 #: Cost of a token, so that segments end where nothing speaks for them.
 STEP = 0.3
+#: Tokens within which a token that comes again is no new evidence.
+LOCAL = 64
 #: Distinct tokens held before counts are handed on, and scores remembered by a task.
 HELD = 200_000
 
@@ -236,14 +238,27 @@ class Calibration:
 
 
 def _scan(text: str, scores: _Scores) -> tuple[int, list[tuple[float, int, int]]]:
-    """Tokens and segments of a text; a token that comes again is no new evidence and costs like any other."""
+    """Tokens and segments of a text; a token that comes again nearby is no new evidence and costs like any other.
+
+    Nearby: at most LOCAL tokens after its last place, while the sum of scores has not fallen to zero in between (no
+    segment spans such a place). So passages are judged by their own tokens, whatever the text mentions before.
+    """
     words = tokens(text)
     values = np.fromiter(map(scores.__getitem__, words), np.float32, len(words))
-    seen = set()
-    for at in np.nonzero(values > 0)[0].tolist():
-        if words[at] in seen:
-            values[at] = -STEP
-        seen.add(words[at])
+    up = np.nonzero(values > 0)[0]
+    cost = np.cumsum(np.where(values > 0, 0.0, values))[up].tolist()
+    places: dict[bytes, int] = {}
+    total = paid = 0.0
+    for at, worth, spent in zip(up.tolist(), values[up].tolist(), cost, strict=True):
+        total, paid = total + spent - paid, spent
+        if total <= 0:
+            total = 0.0
+            places.clear()
+        word = words[at]
+        if at - places.get(word, -LOCAL - 1) <= LOCAL:
+            values[at] = worth = -STEP
+        total += worth
+        places[word] = at
     return len(words), segments(values)
 
 

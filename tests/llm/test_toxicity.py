@@ -82,3 +82,21 @@ def test_empty_tables_and_single_class(spark, make_docs):
     assert toxicity.toxicity_scores(make_docs([]), none).count() == 0
     got = toxicity.toxicity_scores(make_docs([(1, "a b"), (2, None)]), none).collect()
     assert [r.score < 0.01 for r in got] == [True, True]
+
+
+def test_passages_are_found_after_single_mentions_and_again(spark, make_docs):
+    rows, labels = corpus()
+    rng = random.Random(9)
+    plain = [w for w in " ".join(t for i, t in rows if i % 6).split()]
+    bad = ["vile", "rotten", "foulmouth", "nasty"]
+    words = rng.choices(plain, k=20_000)
+    for n in range(40):  # each word singly, again and again
+        words[n * 250 + 100] = bad[n % 4]
+    words[15_000:15_000] = bad * 2
+    words += bad * 2
+    rows.append((9003, " ".join(words)))
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.toxicity_scores(make_docs(rows), table).where("id = 9003").first()
+    for first in (15_000, len(words) - 8):
+        assert any(p["first"] <= first and first + 3 <= p["last"] <= first + 7 for p in got.passages)
+    assert got.score >= toxicity.THRESHOLD
