@@ -4,7 +4,7 @@ Equal vectors are collapsed first, so a vector that a third of all rows share is
 shards of at most about SHARD_ROWS (LEAST_SHARDS at least); a task builds the graph of one shard, and the graphs are
 written as flat neighbour arrays, a row per node. Every shard is asked for every query: a task takes one shard and one
 block of queries. It audits a sample of its queries against brute force over the shard and widens the beam until recall
-reaches TARGET; a beam as wide as the shard is a full scan. Results of shards are merged. Vectors of different length
+reaches TARGET (for near-duplicates: the mean recall of queries with few links and with many, each on its own); a beam as wide as the shard is a full scan. Results of shards are merged. Vectors of different length
 never meet. Products that are returned or tested are taken in double precision on the original vectors.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part; null ids pass
@@ -33,6 +33,8 @@ LEAST_SHARDS = 6
 BLOCK_ROWS = 1 << 16
 AUDIT_EVERY = 32
 TARGET = 0.98
+#: Nodes of a shard that get a made-up link for the audit, so that even shards with few links are audited.
+PROBES = 512
 BEAM = 64
 #: Products held at a time by a full scan.
 SCAN = 1 << 23
@@ -203,13 +205,9 @@ def _near_pairs(threshold: float) -> Callable:
         graph, vectors, gids, copies = _load(index, dim, True)
         asked, qids = _matrix(queries.column("vector"), dim), queries.column("qid").to_numpy()
         unit, asked_unit = _unit(vectors), _unit(asked)
-        some = _sample(len(asked))
-        truth = sum(len(np.nonzero(asked_unit[some[at: at + 64]] @ unit.T >= threshold)[0]) for at in range(0, len(some), 64))
+        audit = _audit(unit, gids, asked_unit, qids, threshold)
         beam = BEAM
-        while beam < len(vectors):
-            got = sum(len(p[0]) for p in _links(graph, unit, asked_unit[some], beam, threshold))
-            if got >= TARGET * truth:
-                break
+        while beam < len(vectors) and not _passes(graph, unit, audit, beam, threshold):
             beam *= 2
         count = np.zeros(len(asked), np.int64)
         edges = [empty, empty]
@@ -230,6 +228,43 @@ def _near_pairs(threshold: float) -> Callable:
     return run
 
 
+def _audit(unit: np.ndarray, gids: np.ndarray, asked: np.ndarray, qids: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Audited queries, their own nodes (-1: not in this shard) and how many other nodes they link to, by brute force.
+
+    Links may be rare and lie in other shards, so probes join the sampled queries: vectors with a cosine between
+    ``threshold`` and 1 to a node, in a random direction, for nodes spread over the shard.
+    """
+    some = _sample(len(asked))
+    order = np.argsort(gids)
+    place = order[np.minimum(np.searchsorted(gids[order], qids[some]), len(gids) - 1)]
+    own = np.where(gids[place] == qids[some], place, -1)
+    drawn = np.random.default_rng(len(gids))
+    nodes = unit[drawn.choice(len(unit), min(PROBES, len(unit)), replace=False)]
+    aside = drawn.normal(size=nodes.shape)
+    aside -= (aside * nodes).sum(axis=1, keepdims=True) * nodes
+    length = np.linalg.norm(aside, axis=1, keepdims=True)
+    aside = np.divide(aside, length, out=np.zeros_like(aside), where=length > 1e-9)  # one dimension has no aside
+    cosine = drawn.uniform(min(threshold, 1.0), 1.0, (len(nodes), 1))
+    probes = cosine * nodes + np.sqrt(1 - cosine**2) * aside
+    queries, own = np.concatenate([asked[some], probes]), np.concatenate([own, np.full(len(probes), -1)])
+    truth = np.empty(len(queries), np.int64)
+    for at in range(0, len(queries), 64):
+        truth[at: at + 64] = (queries[at: at + 64] @ unit.T >= threshold).sum(axis=1)
+    truth -= own >= 0
+    linked = truth > 0
+    return queries[linked], own[linked], truth[linked]
+
+
+def _passes(graph: hnsw.Graph, unit: np.ndarray, audit: tuple[np.ndarray, np.ndarray, np.ndarray], beam: int, threshold: float) -> bool:
+    """Whether the mean recall of queries reaches TARGET among those with 1, 2 to 3, 4 to 7, ... links alike."""
+    queries, own, truth = audit
+    got = np.zeros(len(queries), np.int64)
+    for row, node in _links(graph, unit, queries, beam, threshold):
+        np.add.at(got, row[node != own[row]], 1)
+    recall, group = np.minimum(1.0, got / truth), np.log2(truth).astype(int)
+    return all(recall[group == g].mean() >= TARGET for g in np.unique(group))
+
+
 def _links(graph: hnsw.Graph, unit: np.ndarray, asked: np.ndarray, beam: int, threshold: float):
     """(query row, node) with a cosine of ``threshold`` or more, a beam full of such nodes being widened until it is not."""
     todo = np.arange(len(asked))

@@ -81,3 +81,27 @@ def test_graph_of_any_size(n):
     ids, near = hnsw.search(hnsw.build(vectors), vectors, 32)
     assert (ids[:, 0] == np.arange(n)).mean() >= 0.99
     assert near.shape == (n, min(n, 32))
+
+
+def test_hot_links_do_not_hide_lost_pairs_in_the_audit():
+    rng = np.random.default_rng(12)
+    single, hot = rng.normal(size=(6000, 32)), rng.normal(size=32) + rng.normal(size=(3000, 32)) * 0.05
+    pairs = single[:300] + rng.normal(size=(300, 32)) * 0.15
+    unit = ann._unit(np.concatenate([single, hot, pairs]))
+    gids = np.arange(len(unit))
+    graph = hnsw.build(unit)
+    graph.layers[0][6000:9000][np.isin(graph.layers[0][6000:9000], np.arange(6000))] = -1
+    graph.layers[0][graph.layers[0] >= 9000] = -1  # no way leads to the second of a pair
+
+    def recall(beam):
+        found = {(int(r), int(n)) for row, node in ann._links(graph, unit, unit[:300], beam, 0.9) for r, n in zip(row, node, strict=True)}
+        return len(found & {(i, 9000 + i) for i in range(300)}) / 300
+
+    real = ((unit[:300] * unit[9000:]).sum(axis=1) >= 0.9).mean()
+    assert real > 0.9 and recall(64) < 0.5
+    some = unit[ann._sample(len(unit))]  # over all links of all queries, own nodes with them, nothing seems to be lost
+    assert sum(len(r) for r, _ in ann._links(graph, unit, some, 64, 0.9)) >= 0.98 * (some @ unit.T >= 0.9).sum()
+    audit = ann._audit(unit, gids, unit, gids, 0.9)
+    assert (audit[2] == 1).sum() > 100
+    assert not ann._passes(graph, unit, audit, 64, 0.9)
+    assert recall(4096) >= 0.98 * real and ann._passes(graph, unit, audit, 4096, 0.9)
