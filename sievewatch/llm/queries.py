@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewatch.llm import ann, bpe, mixing, sharding, simhash, suffix_dedup, token_files, toxicity, url_graph
+from sievewatch.llm import ann, bpe, mixing, periodic, sharding, simhash, suffix_dedup, token_files, toxicity, url_graph
 from sievewatch.llm.common import table
 
 
@@ -57,6 +58,22 @@ def op10_hnsw_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(rows, rows.where("vec_id % 20 = 0"), 20).withColumnRenamed("id", "vec_id")
 
 
+def _plant_run(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The stated test runs: about a tenth of the documents repeat a block of their own words to the end."""
+    n = len(words)
+    drawn, rest = divmod(zlib.crc32(str(doc_id).encode()), 10)
+    if rest or not n or doc_id is None:
+        return words
+    start = drawn % n
+    period = 1 + (n - start) // (3 + drawn % 8)
+    return [words[i] if i < start else words[start + (i - start) % period] for i in range(n)]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(table(spark, sf_dir, "documents"), rewrite=_plant_run)
+    return periodic.run_report(found).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_link_graph": op1_url_link_graph,
     "op2_toxicity": op2_toxicity,
@@ -68,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_orc_token_files": op8_orc_token_files,
     "op9_kd_tree_sharding": op9_kd_tree_sharding,
     "op10_hnsw_neighbours": op10_hnsw_neighbours,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 ORACLE: dict[str, str] = {
     "op1_url_link_graph": url_graph.judge_sql(),
