@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievewatch.llm import ann, bpe, mixing, periodic, sharding, simhash, suffix_dedup, token_files, toxicity, url_graph
+from sievewatch.llm import ann, bpe, divergence, mixing, periodic, sharding, simhash, suffix_dedup, token_files, toxicity, url_graph, warc
 from sievewatch.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op10_hnsw_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(rows, rows.where("vec_id % 20 = 0"), 20).withColumnRenamed("id", "vec_id")
 
 
+def op11_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_report(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def _plant_run(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """The stated test runs: about a tenth of the documents repeat a block of their own words to the end."""
     n = len(words)
@@ -74,6 +78,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_report(found).withColumnRenamed("id", "doc_id")
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_link_graph": op1_url_link_graph,
     "op2_toxicity": op2_toxicity,
@@ -85,9 +93,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_orc_token_files": op8_orc_token_files,
     "op9_kd_tree_sharding": op9_kd_tree_sharding,
     "op10_hnsw_neighbours": op10_hnsw_neighbours,
+    "op11_warc_archives": op11_warc_archives,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_source_divergence": op13_source_divergence,
 }
 ORACLE: dict[str, str] = {
     "op1_url_link_graph": url_graph.judge_sql(),
     "op3_poisson_mixing": mixing.MIX_SQL,
+    "op11_warc_archives": warc.ARCHIVE_SQL,
+    "op13_source_divergence": divergence.DIVERGENCE_SQL,
 }
