@@ -30,6 +30,25 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one job, dropped together once a table written later stands in for them.
+
+    What reads them must have been written before: nothing lazy may depend on a dropped table.
+    """
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.spark, self.root = spark, work_path(spark, tag)
+
+    def stage(self, df: DataFrame, tag: str) -> DataFrame:
+        path = f"{self.root}/{tag}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def text_of(column: str = "text") -> Column:
     """The text, null counting as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
