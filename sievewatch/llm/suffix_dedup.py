@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievewatch.llm.bwt import repeated_starts
-from sievewatch.llm.common import lean, stage, text_batches, text_of
+from sievewatch.llm.common import Scratch, lean, stage, text_batches, text_of
 
 LEAST = 400
 GRAM = 160
@@ -207,16 +207,17 @@ def _same_row(left: str, right: str) -> Column:
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """(id, text_hash, s, e): byte ranges to remove, with overlaps."""
     text_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "repeats")
     slim = _slim(docs, id_col, text_col)
     found = slim.where(F.length("text") >= least).mapInArrow(lean(_finder(least)), _OCCURRENCES)
     # joined tables are written first: AQE splits a hot key only where both sides come straight from a shuffle
-    counts = stage(found.groupBy("anchor").agg(F.count("*").alias("seen")).where("seen > 1").select("anchor"), "repeated-anchors")
-    shared = stage(found.join(counts, "anchor"), "shared-anchors")
+    counts = scratch.stage(found.groupBy("anchor").agg(F.count("*").alias("seen")).where("seen > 1").select("anchor"), "repeated-anchors")
+    shared = scratch.stage(found.join(counts, "anchor"), "shared-anchors")
     distinct = shared.groupBy("anchor", "stretch").agg(F.count("*").alias("copies"), F.min(F.struct("id", "text_hash", "start", "n")).alias("one"))
-    distinct = stage(distinct, "stretches")
+    distinct = scratch.stage(distinct, "stretches")
     copied = distinct.where("copies > 1").select("anchor", "stretch")
     whole = shared.join(copied, ["anchor", "stretch"]).select("id", "text_hash", F.col("start").alias("s"), F.expr(f"start + n + {least - 1}").alias("e"))
-    varied = stage(distinct.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "varied-anchors")
+    varied = scratch.stage(distinct.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "varied-anchors")
     blocks = F.ceil(F.col("kinds") / BLOCK_ROWS)
     wanted = (
         distinct.join(varied, "anchor")
@@ -230,7 +231,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = slim.alias("d").join(wanted.alias("w"), _same_row("d", "w")).select("w.id", "w.text_hash", "d.text", "w.wanted")
     texts = texts.mapInArrow(lean(_cutter(least)), _STRETCHES)
     expanded = texts.repartition("anchor", "block").sortWithinPartitions("anchor", "block").mapInArrow(lean(_expander(least)), _SPANS)
-    return whole.unionAll(expanded)
+    spans = stage(whole.unionAll(expanded), "spans")
+    scratch.drop()
+    return spans
 
 
 def merged_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
