@@ -4,9 +4,9 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from sievewatch.llm import bpe, mixing, simhash, suffix_dedup, toxicity
+from sievewatch.llm import mixing, toxicity
 from sievewatch.llm.queries import ORACLE, QUERIES
-from tests.llm.test_simhash import plain_components
+from tests.llm.test_near_dedup import plain_kept
 from tests.llm.test_suffix_dedup import plain
 
 
@@ -19,9 +19,9 @@ def staged(spark, sf_dir):
 
 
 def test_every_query_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLE) <= set(QUERIES)
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash near-dedup", "suffix-array dedup", "mixing", "bpe"]
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near-dedup", "suffix-array dedup", "mixing", "bpe"]
 
 
 def test_stages(spark, sf_dir, staged):
@@ -30,9 +30,8 @@ def test_stages(spark, sf_dir, staged):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scores = {r.id: r.score for r in toxicity.toxicity_scores(docs, labels).collect()}
     assert {r.doc_id for r in clean.collect()} == {i for i, s in scores.items() if s < toxicity.THRESHOLD}
-    classes = plain_components([(r.doc_id, r.text) for r in clean.collect()])
-    assert {r.doc_id for r in single.collect()} == {c for _, _, c in classes}
-    removed = {i: n for i, _, n, _, _ in plain([(r.doc_id, r.text) for r in single.collect()], suffix_dedup.LEAST)}
+    assert sorted(r.doc_id for r in single.collect()) == plain_kept([(r.doc_id, r.text) for r in clean.collect()])
+    removed = {i: n for i, _, n, _, _ in plain([(r.doc_id, r.text) for r in single.collect()], corpus_pipeline.PASSAGE_BYTES)}
     before = {r.doc_id: len(r.text.encode()) for r in single.collect()}
     for r in cut.collect():
         assert 0 <= before[r.doc_id] - removed[r.doc_id] - len(r.text.encode()) <= 6  # parts of cut characters go too
