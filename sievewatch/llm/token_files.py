@@ -36,7 +36,8 @@ from sievewatch.llm.common import lean, stage, text_batches, text_of, work_path,
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-REMEMBERED = 300_000
+#: Chunks kept by a worker: so many that came lately, and as many that came before those.
+REMEMBERED = 400_000
 #: New words in one text.
 TOGETHER = 64
 GROUP = 4 << 20
@@ -60,6 +61,7 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.store = store
         self.chunks: dict[bytes, bytes] = store.setdefault("chunks", {})
         self.chunked = chunked
         read = json.loads(spec)
@@ -114,8 +116,13 @@ class LibraryEncoder:
             return self._fresh(texts)
         split = [self._split(t) for t in texts]
         if len(self.chunks) > REMEMBERED:
-            self.chunks.clear()
-        new = {c for chunks in split for c in chunks}.difference(self.chunks)
+            self.store["before"], self.chunks = self.chunks, {}
+            self.store["chunks"] = self.chunks
+        new = set().union(*split).difference(self.chunks)
+        before = self.store.get("before", {})
+        known = new.intersection(before)
+        self.chunks.update(zip(known, map(before.__getitem__, known), strict=True))
+        new -= known
         if new:
             self._learn(new)
         return [b"".join(map(self.chunks.__getitem__, chunks)) for chunks in split]
