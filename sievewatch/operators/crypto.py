@@ -49,6 +49,20 @@ def new_subject_keys(subjects: DataFrame, existing: DataFrame | None, masters: D
     )
 
 
+def derived_subject_keys(subjects: DataFrame, masters: DataFrame, master_id: str, salt: str) -> DataFrame:
+    """Wrapped keys derived from the master key and the subject, for replays of fixed data: every run unwraps the same key.
+
+    Unlike drawn keys these can be derived again from the master key, so destroying one shreds nothing for its holder.
+    """
+    ids = subjects.select("subject_id").distinct().withColumn("master_id", F.lit(master_id)).join(F.broadcast(masters), "master_id")
+    dek = F.unhex(F.sha2(F.concat("master_key", F.lit(salt).cast("binary"), F.col("subject_id").cast("string").cast("binary")), 256))
+    return ids.select(
+        "subject_id", "master_id",
+        F.aes_encrypt(dek, "master_key", F.lit("GCM"), F.lit("DEFAULT"), F.lit("").cast("binary"), _aad(KEY_PURPOSE)).alias("wrapped_key"),
+        F.lit(None).cast("timestamp").alias("destroyed_at"),
+    )
+
+
 def _with_dek(df: DataFrame, keys: DataFrame, masters: DataFrame) -> DataFrame:
     held = keys.join(F.broadcast(masters), "master_id", "left").select(
         "subject_id", "wrapped_key",

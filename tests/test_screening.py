@@ -171,7 +171,7 @@ def test_replay_finds_tampering_and_survives_encryption(spark):
     keys = crypto.new_subject_keys(subs, None, masters, "m").cache()
     sealed = crypto.encrypt(head, keys, masters, "bundle", "decision", "bundle")
     opened = crypto.decrypt(sealed, keys, masters, "bundle", "decision", "plain").drop("bundle", "shredded").withColumnRenamed("plain", "bundle")
-    h2, r2 = replay.replay(opened, rows, DEFAULT_RULE)
+    h2, r2 = replay.replay(opened, rows)
     assert replay.diff_results(head, rows, h2, r2).count() == 0
     forged = rows.withColumn("score", F.when(F.col("record_id") == "a", 0.1).otherwise(F.col("score")))
     diffs = replay.diff_results(head, forged, h2, r2).collect()
@@ -195,3 +195,34 @@ def test_encryption_binds_purpose_and_subject(spark):
     assert crypto.new_subject_keys(df, keys, masters, "m").count() == 0
     with pytest.raises(ValueError):
         crypto.master_keys(spark, {"m": b"short"})
+
+
+@pytest.mark.parametrize("name,held", [
+    ("王小明", True), ("王小明 Li", True), ("Li 李", True), ("I. Petrov", False), ("Иван Петров", False), ("van der Meer", False), ("X", True), ("Ünal", False), ("", False), ("123", False)])
+def test_letters_without_keys_hold_a_name(spark, name, held):
+    from sievewatch.operators.decision import without_keys
+
+    assert spark.createDataFrame([(name,)], "n string").select(without_keys(F.col("n"))).first()[0] is held
+
+
+def test_decisions_are_named_by_run_and_snapshots(spark):
+    subs, recs = spark.createDataFrame([person("Zed Quux")], SUBJECT), spark.createDataFrame([listed(["Ivan Petrov"])], RECORD)
+    decided = screen(subs, recs, DEFAULT_RULE)
+    ids = {freeze(*decided, subs, recs, DEFAULT_RULE, snaps, run)[0].first()["decision_id"] for snaps, run in ((["a"], "1"), (["a"], "2"), (["b"], "1"), (["a"], "1"))}
+    assert len(ids) == 3
+
+
+def test_a_changed_frozen_rule_shows_against_the_stored_one(spark):
+    subs = spark.createDataFrame([person("Ivan Petrov", key=1)], SUBJECT).withColumn("rule_version", F.lit(1))
+    recs, rules = spark.createDataFrame([listed(["Ivan Petrov"], key="a")], RECORD), rule_rows(spark)
+    head, rows = freeze(*screen(subs, recs, rules), subs, recs, rules)
+    forged = head.withColumn("bundle", F.regexp_replace("bundle", r'clear_below\\\\":0.35', r'clear_below\\\\":0.8'))
+    assert forged.first()["bundle"] != head.first()["bundle"]
+    assert replay.replay(forged, rows)[0].first()["disposition"] == "CLEAR"
+    assert replay.replay(forged, rows, rules)[0].first()["disposition"] == "REVIEW"
+
+
+def test_a_rule_version_that_is_not_stored_fails(spark):
+    subs = spark.createDataFrame([person("Ivan Petrov")], SUBJECT).withColumn("rule_version", F.lit(9))
+    with pytest.raises(Exception, match="no rule version 9"):
+        screen(subs, spark.createDataFrame([listed(["Ivan Petrov"])], RECORD), rule_rows(spark))[1].collect()
