@@ -30,20 +30,25 @@ CITIES = ("Arden", "Belmora", "Corvin", "Dunmere", "Eastvale")
 NAME_BLOCK = 400
 
 
-def grown(name: Column, k: Column) -> Column:
-    """The name with the ending of the key's block; the first block has none."""
+#: Every so many keys, a name of the first block: the share of very common names, which stays the same at any size.
+COMMON = 50
+
+
+def grown(name: Column, k: Column, common: int | None = None) -> Column:
+    """The name with the ending of the key's block; the first block has none, nor has one key in ``common``."""
     code = F.regexp_replace(F.translate(F.floor(k / NAME_BLOCK).cast("string"), "0123456789", "bdfklmnrsj"), "(.)", "$1a")
-    return F.when(k < NAME_BLOCK, name).otherwise(F.concat(name, code))
+    first = (k < NAME_BLOCK) if common is None else (k < NAME_BLOCK) | (k % common == 0)
+    return F.when(first, name).otherwise(F.concat(name, code))
 
 
 def sql_grown(name: str, k: str) -> str:
     return f"(CASE WHEN {k} < {NAME_BLOCK} THEN {name} ELSE {name} || regexp_replace(translate(({k} // {NAME_BLOCK})::VARCHAR, '0123456789', 'bdfklmnrsj'), '(.)', '\\1a', 'g') END)"
 
 
-def subjects(spark: SparkSession, sf_dir: str, df: DataFrame | None = None) -> DataFrame:
+def subjects(spark: SparkSession, sf_dir: str, df: DataFrame | None = None, common: int | None = None) -> DataFrame:
     """subject_id, name, aliases, dob, nationality, pob, documents from ``customer``."""
     k = F.col("c_custkey")
-    given, family = grown(pick(GIVEN, k % 24), k), grown(pick(FAMILY, (k * 7 + 3) % 40), k)
+    given, family = grown(pick(GIVEN, k % 24), k, common), grown(pick(FAMILY, (k * 7 + 3) % 40), k, common)
     iso = pick(ISO, F.col("c_nationkey") % 10)
     y, m, d = 1950 + k % 40, k % 12 + 1, k % 28 + 1
     day = F.format_string("%04d-%02d-%02d", y, m, d)
@@ -59,10 +64,10 @@ def subjects(spark: SparkSession, sf_dir: str, df: DataFrame | None = None) -> D
         F.filter(F.array(F.when(k % 3 == 0, doc)), lambda x: x.isNotNull()).alias("documents"))
 
 
-def records(spark: SparkSession, sf_dir: str, df: DataFrame | None = None) -> DataFrame:
+def records(spark: SparkSession, sf_dir: str, df: DataFrame | None = None, common: int | None = None) -> DataFrame:
     """record_id, names, dobs, pobs, nationalities, documents from ``part``."""
     k = F.col("p_partkey")
-    given, family, middle = grown(pick(GIVEN, (k * 5 + 1) % 24), k), grown(pick(FAMILY, (k * 11 + 2) % 40), k), pick(MIDDLE, k % 7)
+    given, family, middle = grown(pick(GIVEN, (k * 5 + 1) % 24), k, common), grown(pick(FAMILY, (k * 11 + 2) % 40), k, common), pick(MIDDLE, k % 7)
     space = F.lit(" ")
     names = F.filter(F.array(
         F.concat(family, F.lit(", "), given), F.concat(given, space, middle, space, family),
@@ -148,6 +153,11 @@ rdob AS (
   UNION ALL SELECT record_id, 2, NULL, NULL, NULL, NULL, NULL, false, 1948 + k % 40, 1952 + k % 40, 'range' FROM rec WHERE k % 3 = 2 AND k % 4 <> 0
   UNION ALL SELECT record_id, 3, NULL, NULL, NULL, 1951 + k % 40, NULL, false, NULL, NULL, 'year' FROM rec WHERE k % 9 = 0)"""
 
+# The same people with a constant share of common names.
+PEOPLE_COMMON_SQL = PEOPLE_SQL
+for _key in ("c_custkey", "p_partkey"):
+    PEOPLE_COMMON_SQL = PEOPLE_COMMON_SQL.replace(f"{_key} < {NAME_BLOCK} THEN", f"{_key} < {NAME_BLOCK} OR {_key} % {COMMON} = 0 THEN")
+
 # ntok: tokens per name; tkey: keys per token; skey / rkey: keys per subject name token and per record.
 KEYS_SQL = f"""
 nick(a, b) AS (VALUES {_NICK}),
