@@ -178,18 +178,22 @@ def _scan_top(vectors: np.ndarray, queries: np.ndarray, k: int) -> np.ndarray:
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score): the ``k`` rows with the largest inner product for each of ``queries``, the query's own
-    row (same id) left out; ties go to the smaller id."""
+    row (same id) left out; ties go to the smaller id.
+
+    A row that is repeated counts once, as a query and as a neighbour. An id with several vectors is near with the best of
+    them, on either side, and is a neighbour once.
+    """
     held = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).where(usable("vector"))
     vectors = stage(distinct_vectors(rows, id_col, vector_col), "distinct-vectors")
     index, shards = build_index(vectors, cosine=False)
     asked = queries.select(F.col(id_col).cast("long").alias("qid"), F.col(vector_col).cast("array<double>").alias("vector")).where(usable("vector"))
-    asked = stage(asked.withColumn("dim", F.size("vector")), "queries")
+    asked = stage(asked.distinct().withColumn("dim", F.size("vector")), "queries")
     found = _asker(index, asked, shards, _nearest(k + 1), "qid long, gid long, score double")  # one more for the query itself
     # of equal vectors, no more than the k + 1 smallest ids can be among the nearest
     copy = F.row_number().over(Window.partitionBy("vector").orderBy(F.col("id").asc_nulls_last()))
-    copies = held.withColumn("copy", copy).where(F.col("copy") <= k + 1)
+    copies = held.distinct().withColumn("copy", copy).where(F.col("copy") <= k + 1)
     copies = copies.join(stage(vectors.select("gid", "vector"), "groups"), "vector").select("gid", "id")
-    merged = found.join(stage(copies, "copies"), "gid").where(~F.col("id").eqNullSafe(F.col("qid")))
+    merged = found.join(stage(copies, "copies"), "gid").where(~F.col("id").eqNullSafe(F.col("qid"))).groupBy("qid", "id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), F.col("id").asc_nulls_last()))
     return merged.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("qid").alias("query_id"), "rank", "id", "score")
 
