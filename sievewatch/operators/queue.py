@@ -32,13 +32,52 @@ def queue_rank(disposition: Column) -> Column:
             .when(disposition == "CLEAR", 2).otherwise(3))
 
 
+#: (column, descending) of each listing; the last column names a row.
+QUEUE_ORDER = (("severity_rank", False), ("created_at", True), ("run_id", False))
+REPORT_ORDER = (("created_at", True), ("report_id", False))
+AUDIT_ORDER = (("occurred_at", True), ("event_id", False))
+
+
+def after_row(order: tuple[tuple[str, bool], ...], cursor: dict) -> Column:
+    """Rows behind ``cursor`` (a value per column of ``order``), nulls where a sort puts them: first ascending, last descending."""
+    behind, same = F.lit(False), F.lit(True)
+    for name, descending in order:
+        c, v = F.col(name), F.lit(cursor[name])
+        if descending:
+            further = F.lit(False) if cursor[name] is None else (c < v) | c.isNull()
+        else:
+            further = c.isNotNull() if cursor[name] is None else c > v
+        behind = behind | (same & F.coalesce(further, F.lit(False)))
+        same = same & c.eqNullSafe(v)
+    return behind
+
+
+def page(rows: DataFrame, order: tuple[tuple[str, bool], ...], limit: int | None, offset: int = 0, after: dict | None = None) -> DataFrame:
+    """A page in ``order``. With ``after``, the cursor of the last row seen, earlier pages are filtered away before the sort, so
+    each page costs a top-k of ``limit`` rows, however deep it lies; an offset sorts all rows before it. Without a limit all
+    rows come, unsorted."""
+    if after is not None:
+        rows = rows.where(after_row(order, after))
+    if limit is None:
+        return rows
+    ordered = rows.orderBy(*(F.desc(c) if descending else F.asc(c) for c, descending in order))
+    return (ordered.offset(offset) if offset else ordered).limit(limit)
+
+
+def last_row(rows: DataFrame, order: tuple[tuple[str, bool], ...]) -> dict | None:
+    """The cursor of a page's last row, None for an empty page: one row reaches the driver."""
+    names = [c for c, _ in order]
+    found = rows.select(*names).orderBy(*(F.asc(c) if descending else F.desc(c) for c, descending in order)).limit(1).collect()
+    return found[0].asDict() if found else None
+
+
 def screening_queue(runs: DataFrame, decisions: DataFrame, dispositions: DataFrame, *, candidates: DataFrame | None = None,
                     disposition: str | None = None, trigger: str | None = None, older_than_days: int | None = None,
-                    list_source: str | None = None, as_of=None, limit: int | None = 50, offset: int = 0) -> DataFrame:
+                    list_source: str | None = None, as_of=None, limit: int | None = None, offset: int = 0, after: dict | None = None) -> DataFrame:
     """Runs with their decision and latest human disposition, most severe and newest first.
 
-    ``candidates`` (run_id, source) serves the list filter as a semi-join. The sort carries a limit,
-    so Spark plans a top-k instead of a global sort.
+    ``candidates`` (run_id, source) serves the list filter as a semi-join. ``limit`` gives a page in QUEUE_ORDER, from ``offset``
+    or behind the cursor ``after``; Spark plans a top-k instead of a global sort. Without it all rows come.
     """
     q = runs
     if trigger:
@@ -53,9 +92,8 @@ def screening_queue(runs: DataFrame, decisions: DataFrame, dispositions: DataFra
     else:
         q = q.join(d, "run_id", "left")
     human = latest_dispositions(dispositions).select("decision_id", F.col("disposition").alias("human_disposition"))
-    q = q.join(human, "decision_id", "left").orderBy(
-        queue_rank(F.col("system_disposition")), F.desc("created_at"), "run_id")
-    return q if limit is None else q.offset(offset).limit(limit)
+    q = q.join(human, "decision_id", "left").withColumn("severity_rank", queue_rank(F.col("system_disposition")))
+    return page(q, QUEUE_ORDER, limit, offset, after)
 
 
 def visible_runs(runs: DataFrame, subjects: DataFrame, client_id: str | None = None) -> DataFrame:
@@ -68,7 +106,7 @@ def visible_runs(runs: DataFrame, subjects: DataFrame, client_id: str | None = N
 
 def report_list(reports: DataFrame, runs: DataFrame, submissions: DataFrame, assessments: DataFrame, reviews: DataFrame, *,
                 triage_tier: str | None = None, review_status: str | None = None, q: str | None = None,
-                limit: int | None = 50, offset: int = 0) -> DataFrame:
+                limit: int | None = None, offset: int = 0, after: dict | None = None) -> DataFrame:
     """Reports joined to run and submission, outer to assessment and review, newest first."""
     subs = submissions.select("submission_id", "company_name", "domain")
     if q:
@@ -87,7 +125,7 @@ def report_list(reports: DataFrame, runs: DataFrame, submissions: DataFrame, ass
     elif review_status == "reviewed":
         rows = rows.filter(F.col("_reviewed").isNotNull())
     rows = rows.drop("_reviewed")
-    return rows if limit is None else rows.orderBy(F.desc("created_at"), "report_id").offset(offset).limit(limit)
+    return page(rows, REPORT_ORDER, limit, offset, after)
 
 
 def total(filtered: DataFrame) -> DataFrame:
@@ -169,10 +207,10 @@ def audit_timeline(events: DataFrame, run_id: str, submission_id: str) -> DataFr
     return events.filter(hit).orderBy("occurred_at", "event_id")
 
 
-def audit_log(events: DataFrame, event_type: str | None = None, limit: int = 100) -> DataFrame:
-    """Newest events, optionally of one type."""
+def audit_log(events: DataFrame, event_type: str | None = None, limit: int | None = None, after: dict | None = None) -> DataFrame:
+    """Events newest first, optionally of one type: a page of ``limit`` rows behind the cursor ``after``, or all."""
     rows = events.filter(F.col("event_type") == event_type) if event_type else events
-    return rows.orderBy(F.desc("occurred_at"), "event_id").limit(limit)
+    return page(rows, AUDIT_ORDER, limit, after=after)
 
 
 def with_actor(events: DataFrame, operators: DataFrame, clients: DataFrame) -> DataFrame:
