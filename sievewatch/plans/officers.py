@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sievewatch.operators import explain, lists, monitor, people, public_records, queue
 from sievewatch.plans.base import AS_OF, pick, query, sql_pick, table
 from sievewatch.plans.listing import _RUNS_SQL, _runs
+from sievewatch.sources import evidence as producers
 
 RELATIONS = ("owner", "officer")
 CHANGES = ("added", "changed", "removed")
@@ -186,3 +187,19 @@ def audit_log_cursor(spark, sf_dir):
     first = queue.audit_log(events, limit=70)
     second = queue.audit_log(events, limit=70, after=queue.last_row(first, queue.AUDIT_ORDER))
     return first.select("event_id", F.lit(0).alias("page")).unionByName(second.select("event_id", F.lit(1).alias("page")))
+
+
+@query("first_registry_evidence", """
+SELECT o_custkey AS run_id, 'company ' || arg_min(o_orderkey, (o_orderdate, o_orderkey)) AS name, 'street ' || arg_min(o_orderkey, (o_orderdate, o_orderkey)) FILTER (WHERE o_orderkey % 3 > 0) AS address,
+       count(*) AS n_names FROM orders GROUP BY o_custkey""")
+def first_registry_evidence(spark, sf_dir):
+    """Of several companies in one answer, the first name and the first address are those of the provider's order."""
+    k = F.col("o_orderkey")
+    company = F.struct(F.concat(F.lit("company "), k.cast("string")).alias("name"), F.when(k % 3 > 0, F.concat(F.lit("street "), k.cast("string"))).alias("registered_address"))
+    held = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("run_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderdate", k, company.alias("c")))).alias("h"))
+    body = F.to_json(F.struct(F.struct(F.transform("h", lambda x: x["c"]).alias("companies")).alias("results")))
+    rows = producers.registry_evidence(producers.read_registry(held.select("run_id", body.alias("body"))), AS_OF)
+    rows = producers.union_evidence(rows, producers.free_email_evidence(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("run_id"), F.lit("a@corp.example").alias("email")), AS_OF))
+    order = F.struct("created_at", "evidence_id")
+    first = lambda field: F.min_by("raw_value", F.when(F.col("field") == field, order))
+    return rows.groupBy("run_id").agg(first("company_name").alias("name"), first("legal_address").alias("address"), F.count_if(F.col("field") == "company_name").alias("n_names"))
