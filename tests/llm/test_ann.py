@@ -44,6 +44,23 @@ def test_neighbours(table):
     assert not set(got.query_id) - set(ids) - {1316}
 
 
+def test_repeated_rows_and_ids_with_several_vectors(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(60, 6)))]
+    rows += [rows[0]] * 2 + [rows[7]] * 3 + [(20, rng.normal(size=6).tolist())]
+    df = spark.createDataFrame([(i, v) for i, v in rows], "vec_id long, embedding array<double>").repartition(3)
+    got = ann.nearest(df, df.where("vec_id % 20 = 0"), 10).collect()
+    held = {}
+    for i, v in rows:
+        held.setdefault(i, set()).add(tuple(v))
+    for q in (0, 20, 40):
+        best = {i: max(float(np.dot(a, b)) for a in held[q] for b in vs) for i, vs in held.items() if i != q}
+        want = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:10]
+        mine = sorted((r["rank"], r.id, r.score) for r in got if r.query_id == q)
+        assert [(r, i) for r, i, _ in mine] == [(n + 1, i) for n, (i, _) in enumerate(want)]
+        assert np.allclose([s for _, _, s in mine], [s for _, s in want])
+
+
 def test_near_duplicates(table):
     rows = [(i, np.array(v, float)) for i, v in corpus() if good(v)]
     ids, m = np.array([i for i, _ in rows]), np.stack([v for _, v in rows])
