@@ -220,21 +220,26 @@ def ip_evidence(spark, sf_dir):
 SELECT run_id, 'whois_status' AS field, 'unavailable' AS normalized_value FROM e WHERE n % 10 = 0 UNION ALL SELECT run_id, 'domain_age_days', age::VARCHAR FROM e WHERE n % 10 <> 0
 UNION ALL SELECT run_id, 'recently_registered', 'true' FROM e WHERE n % 10 <> 0 AND age < 180 UNION ALL SELECT run_id, 'mx_present', CASE WHEN n % 4 = 0 THEN 'false' ELSE 'true' END FROM e
 UNION ALL SELECT run_id, 'no_mx', 'true' FROM e WHERE n % 4 = 0 UNION ALL SELECT run_id, 'spf_present', CASE WHEN n % 3 = 0 THEN 'true' ELSE 'false' END FROM e
-UNION ALL SELECT run_id, 'dkim_present', CASE WHEN n % 6 = 1 THEN 'true' ELSE 'false' END FROM e WHERE n % 2 = 1 UNION ALL SELECT run_id, 'ssl_issuer', 'CA' || n FROM e WHERE n % 5 <> 0""")
+UNION ALL SELECT run_id, 'dkim_present', CASE WHEN n % 6 = 1 THEN 'true' ELSE 'false' END FROM e WHERE n % 2 = 1 UNION ALL SELECT run_id, 'ssl_issuer', 'CA' || n FROM e WHERE n % 5 <> 0
+UNION ALL SELECT run_id, 'domain_registrar', 'Reg ' || (n % 7) FROM e WHERE n % 10 <> 0 UNION ALL SELECT run_id, 'mx_records', CASE WHEN n % 4 = 0 THEN 'none' ELSE 'mx' || n END FROM e
+UNION ALL SELECT run_id, 'domain_creation_date', strftime(TIMESTAMP '{AS_OF}' - to_days(age), '%Y-%m-%dT%H:%M:%S') FROM e WHERE n % 10 <> 0
+UNION ALL SELECT run_id, 'domain_expiry_date', strftime(TIMESTAMP '{AS_OF}' + to_days(age), '%Y-%m-%dT%H:%M:%S') FROM e WHERE n % 10 <> 0
+UNION ALL SELECT run_id, 'spf_record', CASE WHEN n % 3 = 0 THEN 'V=SPF1 -all' ELSE 'none' END FROM e UNION ALL SELECT run_id, 'ssl_subject', 'CN' || n FROM e WHERE n % 6 <> 0
+UNION ALL SELECT run_id, 'ssl_not_before', '2001-01-0' || (n % 9 + 1) FROM e UNION ALL SELECT run_id, 'ssl_not_after', '2003-01-0' || (n % 9 + 1) FROM e WHERE n % 7 <> 0""")
 def domain_evidence(spark, sf_dir):
     subs = submissions(spark, sf_dir)
     n = F.regexp_extract("domain", r"^c(\d+)", 1).cast("int")
     created = F.lit(AS_OF).cast("timestamp") - F.make_dt_interval(n * 9)
+    expires = F.lit(AS_OF).cast("timestamp") + F.make_dt_interval(n * 9)
     no_text = F.array().cast("array<string>")
+    numbered = lambda prefix, x: F.concat(F.lit(prefix), x.cast("string"))
     landed = subs.select("domain").distinct().select(
-        "domain", F.when(n % 10 != 0, F.struct(created.alias("creation_date"), created.alias("expiration_date"), F.lit("Reg").alias("registrar"))).alias("whois"),
-        F.when(n % 4 == 0, no_text).otherwise(F.array(F.lit("mx1"))).alias("mx"), F.when(n % 3 == 0, F.array(F.lit("x"), F.lit("V=SPF1 -all"))).otherwise(no_text).alias("txt"),
+        "domain", F.when(n % 10 != 0, F.struct(created.alias("creation_date"), expires.alias("expiration_date"), F.concat(F.lit("Reg "), (n % 7).cast("string")).alias("registrar"))).alias("whois"),
+        F.when(n % 4 == 0, no_text).otherwise(F.array(numbered("mx", n), F.lit("other"))).alias("mx"), F.when(n % 3 == 0, F.array(F.lit("x"), F.lit("V=SPF1 -all"))).otherwise(no_text).alias("txt"),
         F.when(n % 2 == 1, F.when(n % 6 == 1, F.array(F.lit("k"))).otherwise(no_text)).alias("dkim"),
-        F.struct(F.when(n % 5 != 0, F.concat(F.lit("CA"), n.cast("string"))).alias("issuer"), F.lit(None).cast("string").alias("subject"),
-                 F.lit(None).cast("string").alias("not_before"), F.lit(None).cast("string").alias("not_after")).alias("cert"))
-    out = producers.domain_evidence(subs, landed, AS_OF)
-    keep = ("whois_status", "domain_age_days", "recently_registered", "mx_present", "no_mx", "spf_present", "dkim_present", "ssl_issuer")
-    return out.filter(F.col("field").isin(*keep)).select("run_id", "field", "normalized_value")
+        F.struct(F.when(n % 5 != 0, F.concat(F.lit("CA"), n.cast("string"))).alias("issuer"), F.when(n % 6 != 0, numbered("CN", n)).alias("subject"),
+                 numbered("2001-01-0", n % 9 + 1).alias("not_before"), F.when(n % 7 != 0, numbered("2003-01-0", n % 9 + 1)).alias("not_after")).alias("cert"))
+    return producers.domain_evidence(subs, landed, AS_OF).select("run_id", "field", "normalized_value")
 
 
 @query("social_evidence", f"""WITH {SUBS_SQL}, pg AS (SELECT s_suppkey AS n, 'c' || (s_suppkey % 50) || '.example.com' AS site FROM supplier), byurl AS (SELECT n FROM pg),
@@ -258,15 +263,16 @@ def social_evidence(spark, sf_dir):
 t AS (SELECT DISTINCT ON (fein) lpad(((p_partkey % 90 + 10) * 10000000 + p_partkey % 400)::VARCHAR, 9, '0') AS fein, p_partkey % 3 AS st, p_partkey AS pk FROM part ORDER BY fein, pk),
 j AS (SELECT run_id, company_name, fein, st, pk FROM q LEFT JOIN t ON fein = f AND length(f) = 9)
 SELECT run_id, 'tax_id_status' AS field, CASE WHEN fein IS NULL THEN 'not_found' WHEN st < 2 THEN 'verified' ELSE 'inactive' END AS normalized_value FROM j
-UNION ALL SELECT run_id, 'tax_id_name_match', CASE WHEN {core_sql('company_name')} = {core_sql(company_sql('pk + st // 2'))} THEN 'match' ELSE 'mismatch' END FROM j WHERE fein IS NOT NULL""")
+UNION ALL SELECT run_id, 'tax_id_name_match', CASE WHEN {core_sql('company_name')} = {core_sql(company_sql('pk + st // 2'))} THEN 'match' ELSE 'mismatch' END FROM j WHERE fein IS NOT NULL
+UNION ALL SELECT run_id, 'tax_id_registered_name', {company_sql('pk + st // 2')} FROM j WHERE fein IS NOT NULL
+UNION ALL SELECT run_id, 'tax_id_entity_type', 'corporation' FROM j WHERE pk % 2 = 0 UNION ALL SELECT run_id, 'tax_id_jurisdiction', {sql_pick(CITIES, 'pk % 5')} FROM j WHERE fein IS NOT NULL""")
 def tax_evidence(spark, sf_dir):
     k = F.col("p_partkey")
     records = table(spark, sf_dir, "part").select(
         ((k % 90 + 10) * 10000000 + k % 400).cast("string").alias("fein"), pick(("Active", " good standing", "dissolved"), k % 3).alias("status"),
-        company(k + F.floor((k % 3) / 2)).alias("registered_name"), F.lit(None).cast("string").alias("entity_type"), F.lit(None).cast("string").alias("jurisdiction"), k.alias("k"))
+        company(k + F.floor((k % 3) / 2)).alias("registered_name"), F.when(k % 2 == 0, "corporation").alias("entity_type"), pick(CITIES, k % 5).alias("jurisdiction"), k.alias("k"))
     records = records.groupBy("fein").agg(F.min_by(F.struct("status", "registered_name", "entity_type", "jurisdiction"), "k").alias("r")).select("fein", "r.*")
-    out = producers.tax_evidence(submissions(spark, sf_dir), records, AS_OF)
-    return out.filter(F.col("field").isin("tax_id_status", "tax_id_name_match")).select("run_id", "field", "normalized_value")
+    return producers.tax_evidence(submissions(spark, sf_dir), records, AS_OF).select("run_id", "field", "normalized_value")
 
 
 def _discovered(spark, sf_dir):
@@ -295,15 +301,17 @@ def field_comparisons(spark, sf_dir):
 @query("headquarters_evidence", f"""WITH {SUBS_SQL}, r AS (SELECT p_partkey // 2 AS run_id, (p_partkey // 2 % 900 + 1) || ' Main Road ' || {sql_pick(CITIES, 'p_partkey % 5')} AS addr FROM part WHERE p_partkey % 2 = 0),
 j AS (SELECT run_id, addr, billing_address, coalesce(addr, billing_address) AS a FROM sub LEFT JOIN r USING (run_id))
 SELECT run_id, 'hq_address_source' AS field, CASE WHEN addr IS NULL THEN 'submitted' ELSE 'registry' END AS normalized_value FROM j WHERE a IS NOT NULL
-UNION ALL SELECT run_id, 'hq_address_confidence', CASE WHEN addr IS NOT NULL AND run_id % 3 = 0 THEN 'high' WHEN addr IS NOT NULL AND run_id % 3 = 1 THEN 'medium' ELSE 'low' END FROM j WHERE a IS NOT NULL""")
+UNION ALL SELECT run_id, 'hq_address_confidence', CASE WHEN addr IS NOT NULL AND run_id % 3 = 0 THEN 'high' WHEN addr IS NOT NULL AND run_id % 3 = 1 THEN 'medium' ELSE 'low' END FROM j WHERE a IS NOT NULL
+UNION ALL SELECT run_id, 'hq_latitude', length(a) || '.5' FROM j WHERE a IS NOT NULL UNION ALL SELECT run_id, 'hq_longitude', '-' || length(a) FROM j WHERE a IS NOT NULL
+UNION ALL SELECT run_id, 'hq_display_name', CASE WHEN length(a) % 2 = 0 THEN 'at ' || a ELSE a END FROM j WHERE a IS NOT NULL""")
 def headquarters_evidence(spark, sf_dir):
     subs = submissions(spark, sf_dir)
     cmp = subs.select("run_id", F.lit("billing_address").alias("field_name"), pick(("match", "unverified", "mismatch"), F.col("run_id") % 3).alias("match_status"))
     ev = _discovered(spark, sf_dir)
     places = ev.filter(F.col("field") == "legal_address").select(F.col("normalized_value").alias("address")).union(subs.select("billing_address")).filter("address IS NOT NULL").distinct()
-    places = places.select("address", F.lit("1.0").alias("lat"), F.lit("2.0").alias("lon"), F.lit("x").alias("display_name"))
-    out = producers.hq_evidence(subs, ev, cmp, places, AS_OF)
-    return out.filter(F.col("field").isin("hq_address_source", "hq_address_confidence")).select("run_id", "field", "normalized_value")
+    n = F.length("address")
+    places = places.select("address", F.concat(n.cast("string"), F.lit(".5")).alias("lat"), F.concat(F.lit("-"), n.cast("string")).alias("lon"), F.when(n % 2 == 0, F.concat(F.lit("at "), "address")).alias("display_name"))
+    return producers.hq_evidence(subs, ev, cmp, places, AS_OF).select("run_id", "field", "normalized_value")
 
 
 _TOK = rf"list_distinct(list_filter(string_split(regexp_replace(lower(NAME), '[^\w]+', ' ', 'g'), ' '), lambda t: t <> ''))"
