@@ -36,6 +36,8 @@ TARGET = 0.98
 #: Nodes of a shard that get a made-up link for the audit, so that even shards with few links are audited.
 PROBES = 512
 BEAM = 64
+#: A query with so many links in a shard counts them by its own search; the pairs of others are written, and count for both ends.
+PAIRS = 64
 #: Products held at a time by a full scan.
 SCAN = 1 << 23
 
@@ -199,13 +201,14 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
 
 
 def _near_pairs(threshold: float) -> Callable:
-    """Per query: copies of the rows it links to (kind 0), and a spanning forest of the links (kind 1)."""
+    """Per query of many links, or one that was scanned: copies of the rows it links to (kind 0). A spanning forest of all
+    links (kind 1). The links of other queries, one by one (kind 2)."""
 
     def run(key: tuple[pa.Scalar, ...], index: pa.Table, queries: pa.Table) -> pa.Table:
         empty = np.empty(0, np.int64)
         if not index.num_rows or not queries.num_rows:
-            return pa.table({"kind": pa.array([], pa.int32()), "a": empty, "b": empty})
-        dim = key[0].as_py()
+            return pa.table({"kind": pa.array([], pa.int32()), "shard": pa.array([], pa.int32()), "a": empty, "b": empty})
+        dim, shard = key[0].as_py(), key[1].as_py()
         graph, vectors, gids, copies = _load(index, dim, True)
         asked, qids = _matrix(queries.column("vector"), dim), queries.column("qid").to_numpy()
         unit, asked_unit = _unit(vectors), _unit(asked)
@@ -213,20 +216,24 @@ def _near_pairs(threshold: float) -> Callable:
         beam = BEAM
         while beam < len(vectors) and not _passes(graph, unit, audit, beam, threshold):
             beam *= 2
-        count = np.zeros(len(asked), np.int64)
-        edges = [empty, empty]
-        for row, node in _links(graph, unit, asked_unit, beam, threshold):
+        count, counted = np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+        edges, pairs = [empty, empty], [empty, empty]
+        for row, node in _links(graph, unit, asked_unit, beam, threshold, counted):
             other = gids[node] != qids[row]
             row, node = row[other], node[other]
             np.add.at(count, row, copies[node])
+            counted |= np.bincount(row, minlength=len(asked)) > PAIRS  # all links of a query come at once
+            few = ~counted[row]
+            pairs = [np.concatenate([p, x]) for p, x in zip(pairs, (qids[row[few]], gids[node[few]]), strict=True)]
             edges = [np.concatenate([e, x]) for e, x in zip(edges, (qids[row], gids[node]), strict=True)]
             if len(edges[0]) > 1 << 21:
                 edges = list(forest(*edges))
         edges = forest(*edges)
-        some = np.nonzero(count)[0]
+        some = np.nonzero(counted)[0]
+        kind = np.repeat(np.arange(3, dtype=np.int32), [len(some), len(edges[0]), len(pairs[0])])
         return pa.table({
-            "kind": pa.array(np.concatenate([np.zeros(len(some)), np.ones(len(edges[0]))]).astype(np.int32)),
-            "a": np.concatenate([qids[some], edges[0]]), "b": np.concatenate([count[some], edges[1]]),
+            "kind": kind, "shard": np.full(len(kind), shard, np.int32),
+            "a": np.concatenate([qids[some], edges[0], pairs[0]]), "b": np.concatenate([count[some], edges[1], pairs[1]]),
         })
 
     return run
@@ -269,8 +276,9 @@ def _passes(graph: hnsw.Graph, unit: np.ndarray, audit: tuple[np.ndarray, np.nda
     return all(recall[group == g].mean() >= TARGET for g in np.unique(group))
 
 
-def _links(graph: hnsw.Graph, unit: np.ndarray, asked: np.ndarray, beam: int, threshold: float):
-    """(query row, node) with a cosine of ``threshold`` or more, a beam full of such nodes being widened until it is not."""
+def _links(graph: hnsw.Graph, unit: np.ndarray, asked: np.ndarray, beam: int, threshold: float, scanned: np.ndarray | None = None):
+    """(query row, node) with a cosine of ``threshold`` or more, a beam full of such nodes being widened until it is not;
+    all nodes of a row come in one piece. Rows that were compared with the whole shard are marked in ``scanned``."""
     todo = np.arange(len(asked))
     while len(todo):
         again = []
@@ -278,6 +286,8 @@ def _links(graph: hnsw.Graph, unit: np.ndarray, asked: np.ndarray, beam: int, th
             rows = todo[at: at + hnsw.ROWS]
             if beam * 4 >= len(unit):  # wide beams cost more than all products
                 step = max(1, SCAN // len(unit))
+                if scanned is not None:
+                    scanned[rows] = True
                 for a in range(0, len(rows), step):
                     r, node = np.nonzero(asked[rows[a: a + step]].astype(np.float32) @ graph.vectors.T >= threshold - 1e-5)
                     yield _sure(unit, asked, rows[a: a + step][r], node, threshold)
@@ -299,13 +309,22 @@ def _sure(unit: np.ndarray, asked: np.ndarray, row: np.ndarray, node: np.ndarray
 
 
 def near_duplicates(rows: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, n_links, component_id, kept) of each row."""
+    """(id, n_links, component_id, kept) of each row.
+
+    A link that a search found from one end counts for both, but that an end with over PAIRS links in the other's shard counts
+    what its own search found there.
+    """
     vectors = stage(distinct_vectors(rows, id_col, vector_col), "distinct-vectors")
     index, shards = build_index(vectors, cosine=True)
     asked = vectors.select(F.col("gid").alias("qid"), "dim", "vector")
-    found = stage(_asker(index, asked, shards, _near_pairs(threshold), "kind int, a long, b long"), "links")
+    found = stage(_asker(index, asked, shards, _near_pairs(threshold), "kind int, shard int, a long, b long"), "links")
     joined = stage(connected_components(found.where("kind = 1").select("a", "b"), "vector-components").withColumnRenamed("node", "gid"), "members")
-    counts = stage(found.where("kind = 0").groupBy(F.col("a").alias("gid")).agg(F.sum("b").alias("others")), "link-counts")
+    # pairs of both ends once, but for ends that counted the other's shard themselves
+    counted = found.where("kind = 0").select(F.col("a").alias("gid"), "shard", "b")
+    pairs = found.where("kind = 2").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    ends = stage(pairs.unionAll(pairs.select("b", "a")), "link-ends").join(index.select(F.col("gid").alias("b"), "shard", "copies"), "b")
+    ends = ends.select(F.col("a").alias("gid"), "shard", F.col("copies").alias("b")).join(counted, ["gid", "shard"], "left_anti")
+    counts = stage(counted.unionAll(ends).groupBy("gid").agg(F.sum("b").alias("others")), "link-counts")
     groups = vectors.join(counts, "gid", "left").join(joined, "gid", "left")
     groups = stage(groups.select("vector", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "gid").alias("component_id")), "classes")
     own = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("own"))

@@ -79,6 +79,28 @@ def test_near_duplicates(table):
     assert (rest.n_links == 0).all() and (rest.component_id == rest.index).all() and rest.kept.all()
 
 
+def test_a_link_found_from_one_end_counts_for_both(spark, monkeypatch):
+    """Every second query of a shard finds nothing, so half of the links are known from one end or none."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(400, 16))
+    vectors = np.concatenate([base, base + rng.normal(size=base.shape) * 0.03])
+    whole = ann._links
+
+    def deaf(graph, unit, asked, beam, threshold, scanned=None):
+        for row, node in whole(graph, unit, asked, len(unit), threshold):
+            ok = row % 2 == 0
+            yield row[ok], node[ok]
+
+    monkeypatch.setattr(ann, "_links", deaf)
+    monkeypatch.setattr(ann, "_passes", lambda *a: True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(3)
+    got = {r.id: (r.n_links, r.component_id) for r in ann.near_duplicates(df).collect()}
+    linked = [i for i in range(400) if got[400 + i][1] == i]
+    assert 200 < len(linked) < 400
+    assert all(got[i] == (1, i) and got[400 + i] == (1, i) for i in linked)
+    assert sum(n for n, _ in got.values()) == 2 * len(linked)
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert ann.nearest(empty, empty, 20).count() == 0
