@@ -17,12 +17,13 @@ HEADLINE = (
     "screen_subjects", "blocking_candidates", "monitoring_rescreen", "snapshot_delta", "reuse_lookback_7_days",
     "asn_reuse_at_scoring_time", "company_risk_scores", "signal_evidence_links", "assembled_reports", "field_comparisons",
     "exclusion_matches", "bankruptcy_records", "merged_people", "web_page_evidence", "document_contacts",
-    "retention_counts", "screening_queue_page", "report_list_page",
+    "retention_counts", "screening_queue_page", "report_list_page", "exclusions_file",
 )
 # What one query works through, for the throughput figures.
 UNITS = {
     "screen_subjects": ("customer", "subjects"), "snapshot_delta": ("orders", "rows"), "reuse_lookback_7_days": ("events", "rows"),
     "company_risk_scores": ("orders", "runs"), "web_page_evidence": ("pages", "pages"), "document_contacts": ("documents", "documents"),
+    "exclusions_file": ("part", "rows"),
 }
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sievewatch.plans import company, governance, listing, officers, reuse, scoring, screening, streams  # noqa: F401
+from sievewatch.plans import company, files, governance, listing, officers, reuse, scoring, screening, streams  # noqa: F401
 from sievewatch.plans.base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
