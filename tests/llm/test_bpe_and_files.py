@@ -112,3 +112,22 @@ def test_lookups_prune_by_id(spark, make_docs, tmp_path):
     assert "PushedFilters: [IsNotNull(id), EqualTo(id,1234)" in spark.read.orc(path).where("id = 1234")._jdf.queryExecution().toString()
     files = sorted(tmp_path.glob("ids/*.orc"))
     assert sum(orc.ORCFile(f).nrows for f in files) == 3000
+
+
+def test_row_groups_are_skipped(spark, tmp_path):
+    """Rows that the scan hands on: one row group by the row index, none where the Bloom filter knows the id is not there."""
+    from pyspark.sql import functions as F
+
+    path = str(tmp_path / "ids")
+    docs = spark.range(60_000).select((F.col("id") * 2).alias("doc_id"), F.concat(F.lit("a word "), F.col("id") % 7).alias("text"))
+    token_files.write_token_files(docs, path)
+
+    def scanned(where):
+        found = spark.read.schema("id long, shard int, first long, ids array<int>").orc(path).where(where)
+        rows = found.collect()
+        return len(rows), found._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().get("numOutputRows").get().value()
+
+    assert scanned("id >= 0") == (60_000, 60_000)
+    assert scanned("id = 62468") == (1, token_files.INDEX_STRIDE)
+    assert scanned("id = 200000") == (0, 0)  # behind all
+    assert [scanned(f"id = {i}")[1] for i in range(3, 99_999, 10_000)].count(0) >= 8  # between others, all but false positives
