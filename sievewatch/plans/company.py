@@ -336,6 +336,31 @@ def entity_resolution(spark, sf_dir):
     return status.drop("top_candidate")
 
 
+def _varied(k: str, longer: str) -> str:
+    """Name of company ``k`` as SQL of both engines; two words are common to a fifth of all, one to a twelfth."""
+    return (f"CASE WHEN {k} % 11 = 0 THEN concat('Solo', floor({k} / 20)::INT) ELSE concat('{longer}Line', {k} % 12, ' Ward', floor({k} / 4)::INT, ' Berth', floor({k} / 24)::INT, "
+            f"CASE WHEN {k} % 5 = 0 THEN ' North Trading' ELSE '' END) END")
+
+
+def _site(k: str, first: str) -> str:
+    return f"CASE WHEN {k} % 3 = 0 THEN NULL ELSE concat('{first}', CASE WHEN {k} % 3 = 1 THEN '' ELSE 'mail.' END, 'r', floor({k} / 8)::INT, '.example') END"
+
+
+@query("resolved_candidates", f"""WITH
+s AS (SELECT c_custkey AS run_id, name, domain, {_tok_sql('name')} AS t FROM (SELECT c_custkey, {_varied('c_custkey', '')} AS name, {_site('c_custkey', '')} AS domain FROM customer)),
+h AS (SELECT p_partkey AS cid, name, domain, {_tok_sql('name')} AS t FROM (SELECT p_partkey, {_varied('p_partkey', 'The ')} AS name, {_site('p_partkey', 'WWW.')} AS domain FROM part)),
+p AS (SELECT run_id, cid::VARCHAR AS candidate_id, h.name, len(list_intersect(s.t, h.t))::DOUBLE / least(len(s.t), len(h.t)) AS ns,
+  CASE WHEN s.domain IS NULL OR h.domain IS NULL THEN 0 WHEN s.domain = substr(h.domain, 5) THEN 1 WHEN array_to_string(string_split(s.domain, '.')[-2:], '.') = array_to_string(string_split(h.domain, '.')[-2:], '.') THEN 0.8 ELSE 0 END::DOUBLE AS ds FROM s, h),
+a AS (SELECT run_id, candidate_id, name, round(ns, 4) AS name_score, round(ds, 4) AS domain_score, round(0.6 * ns + 0.4 * ds, 4) AS overall_score FROM p WHERE round(0.6 * ns + 0.4 * ds, 4) >= 0.4
+  UNION ALL SELECT run_id, '', name, 1.0, CASE WHEN domain IS NULL THEN 0.0 ELSE 1.0 END, CASE WHEN domain IS NULL THEN 0.6 ELSE 1.0 END FROM s)
+SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY overall_score DESC, candidate_id) AS rank FROM a""")
+def resolved_candidates(spark, sf_dir):
+    subs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("run_id"), F.expr(_varied("c_custkey", "")).alias("company_name"), F.expr(_site("c_custkey", "")).alias("domain"))
+    hints = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("candidate_id"), F.expr(_varied("p_partkey", "The ")).alias("name"), F.expr(_site("p_partkey", "WWW.")).alias("domain"))
+    ranked, _status = resolve.resolve_entities(subs, hints)
+    return ranked.select("run_id", "candidate_id", "name", "name_score", "domain_score", "overall_score", "rank")
+
+
 # Orders as court dockets and exclusions of companies.
 def _hits(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
