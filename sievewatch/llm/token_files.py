@@ -26,6 +26,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -48,7 +49,7 @@ BLOOM_FALSE_POSITIVES = 0.01
 
 def _plain(text: str) -> bool:
     """Letters that stay single letters in lower case and in composed form."""
-    return text.isalpha() and max(text) < "\u0130"
+    return text.isalpha() and (text.isascii() or max(text) < "\u0130")
 
 
 class LibraryEncoder:
@@ -62,11 +63,10 @@ class LibraryEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.store = store
-        self.chunks: dict[bytes, bytes] = store.setdefault("chunks", {})
+        self.chunks: dict[str, bytes] = store.setdefault("chunks", {})
         self.chunked = chunked
         read = json.loads(spec)
         suffix = read["model"].get("end_of_word_suffix")
-        self.special = tuple(t["content"].encode() for t in read["added_tokens"])
         # with all three, letters between other characters are one word of their own, whatever their case
         lowers = '"Lowercase"' in json.dumps(read.get("normalizer"))
         splits = [x.get("pattern", {}).get("Regex", "") for x in (read.get("pre_tokenizer") or {}).get("pretokenizers", [])]
@@ -84,48 +84,58 @@ class LibraryEncoder:
         cuts = ((np.nonzero(self.ends[np.frombuffer(flat, "<u4")])[0] + 1) * 4).tolist()
         return [flat[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)] if words else []
 
-    def _split(self, text: str) -> list[bytes]:
-        raw = text.encode()
-        # special tokens have a case of their own, and combining marks compose with some letters of one case only
-        plain = self.words and b"<|" not in raw and (text.isascii() or max(text) < "\u0300")
-        return (raw.lower() if plain else raw).split()
+    def _split(self, texts: list[str]) -> pa.ListArray:
+        whole = pa.array(texts, pa.large_string())
+        if self.words:  # special tokens have a case of their own, and combining marks compose with some letters of one case only
+            odd = pc.or_(pc.match_substring(whole, "<|"), pc.match_substring_regex(whole, r"[^\x{0}-\x{2FF}]"))
+            whole = pc.if_else(odd, whole, pc.ascii_lower(whole))
+        return pc.ascii_split_whitespace(whole)
 
-    def _learn(self, new: set[bytes]) -> None:
+    def _learn(self, new: list[str]) -> None:
         if not self.words:
-            self.chunks.update(zip(new, self._fresh([c.decode() for c in new]), strict=True))
+            self.chunks.update(zip(new, self._fresh(new), strict=True))
             return
-        words, marked, rest = {}, [], []
+        words, marked, rest = {}, [], [",", "."]
         for chunk in new:
-            text = chunk.decode()
-            if _plain(text):
-                words[chunk] = text
-            elif text[-1] in ",." and _plain(text[:-1]):
+            if _plain(chunk):
+                words[chunk] = None
+            elif chunk[-1:] in (",", ".") and _plain(chunk[:-1]):
                 marked.append(chunk)
-                words.setdefault(chunk[:-1], text[:-1])
+                words[chunk[:-1]] = None
             else:
                 rest.append(chunk)
-        rest += [b",", b"."]
         fresh = [c for c in words if c not in self.chunks]
-        self.chunks.update(zip(fresh, self._fresh_words([words[c] for c in fresh]), strict=True))
-        self.chunks.update(zip(rest, self._fresh([c.decode() for c in rest]), strict=True))
+        self.chunks.update(zip(fresh, self._fresh_words(fresh), strict=True))
+        self.chunks.update(zip(rest, self._fresh(rest), strict=True))
         for chunk in marked:
-            self.chunks[chunk] = self.chunks[chunk[:-1]] + self.chunks[chunk[-1:]]
+            self.chunks[chunk] = self.chunks[chunk[:-1]] + self.chunks[chunk[-1]]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.chunked:
-            return self._fresh(texts)
-        split = [self._split(t) for t in texts]
+    def _known(self, chunks: list[str]) -> list[bytes]:
         if len(self.chunks) > REMEMBERED:
             self.store["before"], self.chunks = self.chunks, {}
             self.store["chunks"] = self.chunks
-        new = set().union(*split).difference(self.chunks)
+        new = [c for c in chunks if c not in self.chunks]
         before = self.store.get("before", {})
-        known = new.intersection(before)
-        self.chunks.update(zip(known, map(before.__getitem__, known), strict=True))
-        new -= known
+        self.chunks.update((c, before[c]) for c in new if c in before)
+        new = [c for c in new if c not in before]
         if new:
             self._learn(new)
-        return [b"".join(map(self.chunks.__getitem__, chunks)) for chunks in split]
+        return [self.chunks[c] for c in chunks]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.chunked:
+            return self._fresh(texts)
+        split = self._split(texts)
+        coded = split.values.dictionary_encode()
+        ids = self._known(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        table, at = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        which = coded.indices.to_numpy()
+        each = sizes[which]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        flat = table[np.repeat(at[which] - ends[:-1], each) + np.arange(ends[-1])]
+        cuts = ends[split.offsets.to_numpy()].tolist()
+        return [flat[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def _writer(spec, name: str, chunked: bool) -> Callable:
