@@ -17,20 +17,21 @@ def verify_ownership(challenges: DataFrame, txt: DataFrame, pages: DataFrame, ma
 
     ``challenges``: challenge_id, run_id, domain, method (dns_txt | html_meta | email), token, status.
     """
-    records = txt.groupBy("domain").agg(F.collect_set("value").alias("_txt"))
-    page = pages.groupBy("domain").agg(F.max_by("html", "fetched_at").alias("_html"))
-    answers = mail_tokens.select("challenge_id", F.col("token").alias("_mail")).distinct().groupBy("challenge_id").agg(F.collect_set("_mail").alias("_mails"))
-    rows = challenges.join(records, "domain", "left").join(page, "domain", "left").join(answers, "challenge_id", "left")
     expected = F.concat(F.lit(txt_prefix), F.col("token"))
+    said = (challenges.filter("method = 'dns_txt'").select("challenge_id", "domain", "token").join(txt.select("domain", "value").distinct(), "domain")
+            .filter(F.contains("value", expected)).select("challenge_id").distinct().withColumn("_said", F.lit(True)))
+    page = pages.groupBy("domain").agg(F.max_by("html", "fetched_at").alias("_html"))
+    mailed = mail_tokens.select("challenge_id", "token").distinct().withColumn("_mailed", F.lit(True))
+    rows = challenges.join(said, "challenge_id", "left").join(page, "domain", "left").join(mailed, ["challenge_id", "token"], "left")
     name = meta_name.replace("-", r"\-")
     forward = rf"(?is)<meta[^>]+name\s*=\s*[\"']{name}[\"'][^>]+content\s*=\s*[\"']([^\"']+)[\"']"
     backward = rf"(?is)<meta[^>]+content\s*=\s*[\"']([^\"']+)[\"'][^>]+name\s*=\s*[\"']{name}[\"']"
     meta = F.coalesce(F.nullif(F.regexp_extract("_html", forward, 1), F.lit("")), F.regexp_extract("_html", backward, 1))
     proved = (
-        F.when(F.col("method") == "dns_txt", F.exists("_txt", lambda v: F.contains(v, expected)))
+        F.when(F.col("method") == "dns_txt", F.col("_said"))
         .when(F.col("method") == "html_meta", F.trim(meta) == F.col("token"))
-        .when(F.col("method") == "email", F.array_contains("_mails", F.col("token"))))
-    return rows.withColumn("proved", F.coalesce(proved, F.lit(False))).drop("_txt", "_html", "_mails")
+        .when(F.col("method") == "email", F.col("_mailed")))
+    return rows.withColumn("proved", F.coalesce(proved, F.lit(False))).select(*challenges.columns, "proved")
 
 
 def ownership_evidence(verified: DataFrame, existing: DataFrame, as_of) -> DataFrame:
