@@ -132,19 +132,27 @@ def document_phones(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(phones, "|").alias("phones")).filter("phones <> ''")
 
 
+def _found_sql(pattern: str) -> str:
+    """Every match of a pattern in the pages' text with its place."""
+    found = "regexp_extract_all(body, '" + pattern.replace("'", "''") + "')"
+    return f"SELECT page_id AS id, trim(unnest({found}), ' ' || chr(10) || chr(9) || chr(13)) AS v, generate_subscripts({found}, 1) AS pos FROM p"
+
+
 @query("web_page_evidence", f"""
 WITH p AS (SELECT page_id, html, {_TEXT_SQL} AS body FROM pages), {_contact_sql('p', 'page_id', 'body')},
 n AS (SELECT id, count(*) AS n FROM f GROUP BY id)
 SELECT page_id AS run_id, 'web_brand' AS field, trim(coalesce(nullif(regexp_extract(html, '(?i)<title[^>]*>([^<]+)</title>', 1), ''), regexp_extract(html, '(?i)<h1[^>]*>([^<]+)</h1>', 1))) AS normalized_value FROM p
 UNION ALL SELECT page_id, CASE WHEN n IS NULL THEN 'web_thin_footprint' ELSE 'web_employee_footprint' END, coalesce(n::VARCHAR, 'true') FROM p LEFT JOIN n ON id = page_id
-UNION ALL SELECT id, 'web_contacts_email', arg_min(e, pos) FROM f GROUP BY id""")
+UNION ALL SELECT id, 'web_contacts_email', arg_min(e, pos) FROM f GROUP BY id
+UNION ALL SELECT id, 'web_contacts_phone', arg_min(v, pos) FROM ({_found_sql(contacts.PHONE)})
+  WHERE length(regexp_replace(v, '\\D', '', 'g')) BETWEEN 10 AND 15 AND NOT regexp_matches(v, '^\\d+$') AND len(list_distinct(string_split(regexp_replace(v, '\\D', '', 'g'), ''))) > 2 GROUP BY id
+UNION ALL SELECT id, 'web_contacts_address', arg_min(v, pos) FROM ({_found_sql(contacts.ADDRESS)}) GROUP BY id""")
 def web_page_evidence(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     host = text.bare_host(F.col("url"))
     subs = pages.select(F.col("page_id").alias("run_id"), F.concat_ws("#", host, "page_id").alias("domain"))
     landed = pages.select(F.concat_ws("#", host, "page_id").alias("domain"), "url", "html")
-    out = producers.web_evidence(subs, landed, AS_OF)
-    return out.filter(F.col("field").isin("web_brand", "web_thin_footprint", "web_employee_footprint", "web_contacts_email")).select("run_id", "field", "normalized_value")
+    return producers.web_evidence(subs, landed, AS_OF).select("run_id", "field", "normalized_value")
 
 
 @query("free_email_evidence", "SELECT c_custkey AS run_id, 'free_email_domain' AS field FROM customer WHERE c_custkey % 4 IN (0, 2)")
