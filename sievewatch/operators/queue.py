@@ -138,6 +138,21 @@ def run_timing(runs: DataFrame) -> DataFrame:
     return runs.withColumn("duration_seconds", (F.unix_micros(F.col("completed_at").cast("timestamp")) - F.unix_micros(F.col("started_at").cast("timestamp"))) / F.lit(1e6))
 
 
+def stage_map(outcomes: DataFrame) -> DataFrame:
+    """(run_id, stages): map of stage -> its latest status, from rows (run_id, stage, status, at).
+
+    Of outcomes at one moment the greatest status counts; rows without a stage are left out.
+    """
+    latest = outcomes.filter("stage IS NOT NULL").groupBy("run_id", "stage").agg(F.max_by("status", F.struct("at", "status")).alias("status"))
+    return latest.groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", "status")))).alias("stages"))
+
+
+def run_panel(runs: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Runs with duration and stage map; a run without outcomes has an empty map."""
+    empty = F.create_map().cast("map<string,string>")
+    return run_timing(runs).join(stage_map(outcomes), "run_id", "left").withColumn("stages", F.coalesce("stages", empty))
+
+
 def latest_run(runs: DataFrame, key: str = "entity_id") -> DataFrame:
     """Newest run per key by (created_at, run_id)."""
     return runs.groupBy(key).agg(F.max_by("run_id", F.struct("created_at", "run_id")).alias("run_id"))

@@ -296,3 +296,21 @@ def run_timing(spark, sf_dir):
     runs = li.join(o, li.l_orderkey == o.o_orderkey).select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("stage"), "l_shipdate",
                                                             F.col("l_shipdate").alias("completed_at"), F.col("o_orderdate").alias("started_at"))
     return queue.run_timing(runs).select("run_id", "stage", "l_shipdate", "duration_seconds")
+
+
+@query("run_panels", """
+WITH o AS (SELECT l_orderkey AS run_id, (['query_registries', 'analyze_domain', 'consistency_checks'])[l_linenumber % 3 + 1] AS stage,
+  CASE l_returnflag WHEN 'A' THEN 'complete' WHEN 'N' THEN 'pending' ELSE 'unavailable' END AS status, l_shipdate AS seen FROM lineitem WHERE l_linenumber < 7),
+latest AS (SELECT run_id, stage, arg_max(status, (seen, status)) AS status FROM o GROUP BY ALL)
+SELECT o_orderkey AS run_id, CASE WHEN o_orderkey % 4 <> 0 THEN 86400.0 * (o_orderkey % 9) END AS duration_seconds, coalesce(stages, '') AS stages
+FROM orders LEFT JOIN (SELECT run_id, string_agg(stage || '=' || status, ',' ORDER BY stage) AS stages FROM latest GROUP BY run_id) ON run_id = o_orderkey""")
+def run_panels(spark, sf_dir):
+    k = F.col("o_orderkey")
+    began = F.col("o_orderdate").cast("timestamp")
+    ended = F.when(k % 4 != 0, began + F.make_dt_interval((k % 9).cast("int")))
+    runs = table(spark, sf_dir, "orders").select(k.alias("run_id"), began.alias("started_at"), ended.alias("completed_at"))
+    outcomes = table(spark, sf_dir, "lineitem").filter("l_linenumber < 7").select(
+        F.col("l_orderkey").alias("run_id"), F.expr("element_at(array('query_registries', 'analyze_domain', 'consistency_checks'), l_linenumber % 3 + 1)").alias("stage"),
+        F.expr("CASE l_returnflag WHEN 'A' THEN 'complete' WHEN 'N' THEN 'pending' ELSE 'unavailable' END").alias("status"), F.col("l_shipdate").alias("at"))
+    pairs = F.transform(F.array_sort(F.map_entries("stages")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return queue.run_panel(runs, outcomes).select("run_id", "duration_seconds", F.array_join(pairs, ",").alias("stages"))
