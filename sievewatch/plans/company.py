@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sievewatch.functions import contacts, geo, text
 from sievewatch.operators import consistency, ownership, people, public_records, resolve
-from sievewatch.plans.base import AS_OF, pick, query, sql_list, sql_pick, table
+from sievewatch.plans.base import AS_OF, dealt, pick, query, sql_list, sql_pick, table
 from sievewatch.plans.inputs import CITIES, COUNTRY_CODE, COUNTRY_TEXT, FAMILY, GIVEN, ISO
 from sievewatch.sources import evidence as producers
 
@@ -39,7 +39,7 @@ def submissions(spark, sf_dir):
     """One normalized submission per customer."""
     k = F.col("c_custkey")
     addr = F.concat((k % 900 + 1).cast("string"), F.lit(" Main Street, "), pick(CITIES, k % 5), F.lit(", "), pick(("TX", "CA", "ZZ", "NY"), k % 4), F.lit(" 78701"))
-    return table(spark, sf_dir, "customer").select(
+    return dealt(table(spark, sf_dir, "customer"), "c_custkey").select(
         k.alias("run_id"), k.alias("submission_id"), company(k).alias("company_name"), F.concat(F.lit("c"), (k % 300).cast("string"), F.lit(".example.com")).alias("domain"),
         F.when(k % 4 == 3, "DE").otherwise("US").alias("country_iso"), F.concat(F.lit("u"), k.cast("string"), pick(("@gmail.com", "@c.example.com", "@proton.me", "@corp.example"), k % 4)).alias("email"),
         F.when(k % 6 != 0, addr).alias("billing_address"), F.when(k % 5 != 4, F.concat((k % 90 + 10).cast("string"), F.lit("-"), F.lpad((k % 400).cast("string"), F.when(k % 7 == 0, 6).otherwise(7), "0"))).alias("tax_id"),
@@ -162,7 +162,7 @@ def free_email_evidence(spark, sf_dir):
 
 def _registry(spark, sf_dir):
     """Two landed registry companies per run, as JSON search responses."""
-    p = table(spark, sf_dir, "part")
+    p = dealt(table(spark, sf_dir, "part"), "p_partkey")
     k = F.col("p_partkey")
     run = F.floor(k / 2)
     addr = F.concat((run % 900 + 1).cast("string"), F.lit(" Main Road "), pick(CITIES, k % 5))

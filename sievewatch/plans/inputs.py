@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sievewatch.functions.dates import dob
 from sievewatch.functions.names import NICKNAMES, PARTICLES
-from sievewatch.plans.base import pick, sql_list, sql_pick, table
+from sievewatch.plans.base import dealt, pick, sql_list, sql_pick, table
 
 GIVEN = ("William", "Bill", "Robert", "Bob", "Katherine", "Kate", "Aleksandr", "Sasha", "Yusuf", "Yousuf", "Mikhail", "Misha",
          "Ivan", "Vanya", "Giuseppe", "Pino", "Mohammed", "Muhamad", "Philip", "Fillip", "Elena", "Yelena", "Sergei", "Seryozha")
@@ -58,7 +58,7 @@ def subjects(spark: SparkSession, sf_dir: str, df: DataFrame | None = None, comm
         F.when(k % 11 == 0, F.concat(F.substring(given, 1, 1), F.lit(". "), family))), lambda a: a.isNotNull())
     doc = F.struct(F.when(k % 2 == 0, "passport").otherwise("national_id").alias("type"),
                    F.concat(F.lit("P"), (k % 500).cast("string"), F.lit("-X")).alias("number"), iso.alias("country"))
-    return (table(spark, sf_dir, "customer") if df is None else df).select(
+    return (dealt(table(spark, sf_dir, "customer"), "c_custkey") if df is None else df).select(
         k.alias("subject_id"), F.concat(given, F.lit(" "), family).alias("name"), extra.alias("aliases"), birth.alias("dob"),
         iso.alias("nationality"), F.when(k % 6 < 5, pick(CITIES, k % 6)).alias("pob"),
         F.filter(F.array(F.when(k % 3 == 0, doc)), lambda x: x.isNotNull()).alias("documents"))
@@ -80,7 +80,7 @@ def records(spark: SparkSession, sf_dir: str, df: DataFrame | None = None, commo
         F.when(k % 9 == 0, dob(year=1951 + k % 40))), lambda x: x.isNotNull())
     doc = F.struct(F.lit("passport").alias("type"), F.concat(F.lit("p"), (k % 500).cast("string"), F.lit("x")).alias("number"),
                    pick(ISO, k % 10).alias("country"))
-    return (table(spark, sf_dir, "part") if df is None else df).select(
+    return (dealt(table(spark, sf_dir, "part"), "p_partkey") if df is None else df).select(
         F.concat(F.lit("W"), k.cast("string")).alias("record_id"), names.alias("names"), dobs.alias("dobs"),
         F.array(F.concat(pick(CITIES, k % 5), F.lit(", Ruritania"))).alias("pobs"),
         F.filter(F.array(F.when(k % 8 != 0, pick(COUNTRY_TEXT, k % 11))), lambda x: x.isNotNull()).alias("nationalities"),
