@@ -62,3 +62,21 @@ def test_one_changed_word_of_a_hundred_is_a_near_copy(spark, make_docs):
 
 def test_empty_table(make_docs):
     assert near_dedup.keep_one_per_class(make_docs([])).count() == 0
+
+
+def test_the_trie_of_fingerprints_proposes_the_near_copies(spark):
+    words = [f"w{i}" for i in range(400)]
+    sets = [near_dedup.shingle_set(" ".join(words[:k] + ["other"] * (k > 0) + words[k + 1:])) for k in (0, 40, 300)]
+    sets.append(near_dedup.shingle_set(" ".join(f"v{i}" for i in range(400))))
+    fps = np.array([near_dedup.fingerprint(s) for s in sets], np.uint64).view(np.int64).tolist()
+    nodes = spark.createDataFrame([*enumerate(fps), (7, fps[3])], "node long, fp long")
+    scratch = near_dedup.Scratch(spark, "test-trie")
+    found = {tuple(r) for r in near_dedup._trie_candidates(nodes, scratch).collect()}
+    near = [(i, j) for j in range(4) for i in range(j) if bin((fps[i] ^ fps[j]) & (1 << 64) - 1).count("1") <= 3]
+    scratch.drop()
+
+    def classes(pairs):
+        ends = [np.array([p[k] for p in pairs], np.int64) for k in (0, 1)]
+        return local_roots(8, *ends).tolist()
+
+    assert near and classes(found) == classes([*near, (3, 7)])
