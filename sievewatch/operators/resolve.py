@@ -120,6 +120,7 @@ def resolve_entities(subs: DataFrame, hints: DataFrame | None = None) -> tuple[D
         "run_id", F.lit("").alias("candidate_id"), F.coalesce("company_name", F.lit("")).alias("name"), "domain",
         "s_tokens", "s_host", F.col("s_tokens").alias("c_tokens"), F.col("s_host").alias("c_host"))
     scored = score_candidates(own).filter(F.col("overall_score") >= INCLUDE)
+    best = scored.select("run_id", "candidate_id", "name", "overall_score", F.lit(1).cast("long").alias("n"))
     if hints is not None:
         h = _side(hints, "name", "domain", "c")
         if "run_id" in hints.columns:
@@ -133,13 +134,23 @@ def resolve_entities(subs: DataFrame, hints: DataFrame | None = None) -> tuple[D
                           h.select(F.col("c_tokens").alias("tokens"), F.col("c_host").alias("host")).distinct())
             found = score_candidates(pairs.select("*", F.struct("s_tokens", "s_host").alias("_s"), F.struct("c_tokens", "c_host").alias("_c")))
             found = found.filter(F.col("overall_score") >= INCLUDE)
+            # the status needs the number and the first two of the candidates that all submissions with one (tokens, host) share
+            shared = found.select("_s", "_c", "overall_score").join(h.select("candidate_id", "name", F.struct("c_tokens", "c_host").alias("_c")), "_c").drop("_c")
+            first = F.row_number().over(Window.partitionBy("_s").orderBy(F.desc("overall_score"), "candidate_id"))
+            count = shared.groupBy("_s").agg(F.count("*").alias("n"))
+            two = shared.withColumn("at", first).filter("at <= 2").join(count, "_s").withColumn("n", F.when(F.col("at") == 1, F.col("n")).otherwise(0))
+            best = best.unionByName(s.select("run_id", F.struct("s_tokens", "s_host").alias("_s")).join(two, "_s").select(*best.columns))
             more = (found.join(s.select("run_id", F.struct("s_tokens", "s_host").alias("_s")), "_s")
                     .join(h.select("candidate_id", "name", "domain", F.struct("c_tokens", "c_host").alias("_c")), "_c"))
-        scored = scored.unionByName(more.select(*scored.columns).filter(F.col("overall_score") >= INCLUDE))
+        more = more.select(*scored.columns).filter(F.col("overall_score") >= INCLUDE)
+        scored = scored.unionByName(more)
+        if "run_id" in hints.columns:
+            best = best.unionByName(more.withColumn("n", F.lit(1).cast("long")).select(*best.columns))
     w = Window.partitionBy("run_id").orderBy(F.desc("overall_score"), "candidate_id")
     ranked = scored.withColumn("rank", F.row_number().over(w))
-    top = ranked.groupBy("run_id").agg(
-        F.count("*").alias("n"), F.max(F.when(F.col("rank") == 1, F.col("overall_score"))).alias("top_score"),
+    # one row stands for ``n`` candidates, itself and worse ones
+    top = best.withColumn("rank", F.row_number().over(w)).groupBy("run_id").agg(
+        F.sum("n").alias("n"), F.max(F.when(F.col("rank") == 1, F.col("overall_score"))).alias("top_score"),
         F.max(F.when(F.col("rank") == 2, F.col("overall_score"))).alias("second_score"),
         F.max(F.when(F.col("rank") == 1, F.col("name"))).alias("top_candidate"))
     conflict = (F.col("n") >= 2) & (F.col("top_score") < STRONG) & (
