@@ -83,6 +83,9 @@ def link_people(people: DataFrame, known: DataFrame, runs: DataFrame) -> tuple[D
     """
     have = known.select("entity_id", F.col("subject_id").alias("_sid"), person_key(F.col("name")).alias("person_key"),
                         F.col("dob").alias("_dob"), F.col("created_at").alias("_at"))
+    # of known subjects with one entity, name and birth date only the oldest is ever taken
+    have = have.filter("_sid IS NOT NULL").groupBy("entity_id", "person_key", "_dob").agg(F.min(F.struct("_at", "_sid")).alias("_k")).select(
+        "entity_id", "person_key", "_dob", "_k._at", "_k._sid")
     rows = people.join(runs.select("run_id", "entity_id"), "run_id")
     cand = rows.join(have, ["entity_id", "person_key"], "left").withColumn("_ok", F.col("_sid").isNotNull() & dob_compatible(F.col("_dob"), F.col("dob")))
     keep = [c for c in rows.columns if c not in ("entity_id", "run_id", "person_id")]
