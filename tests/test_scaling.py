@@ -1,8 +1,15 @@
 """Plans that must not depend on the size of the files they read."""
 
+import re
+
 import __spark_entry__ as entry
 import pytest
 
+from sievewatch.functions.dates import DOB_TYPE
+from sievewatch.operators.blocking import block
+from sievewatch.operators.pair_terms import DOC_TYPE, score_pairs, with_pair_inputs
+from sievewatch.operators.rules import DEFAULT_RULE
+
 
 def initial_plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
@@ -12,3 +19,23 @@ def initial_plan(df):
 def test_rows_derived_from_small_files_are_broadcast_only_by_measured_size(spark, sf_dir, name):
     plan = initial_plan(entry.queries()[name](spark, sf_dir))
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+@pytest.mark.parametrize(("name", "step"), [
+    ("exclusion_matches", r"windowspecdefinition\(_group#"),  # ranked once per name and state
+    ("company_sanctions", r"Exchange hashpartitioning\(company_name#\d+, _share#"),  # a name's answers meet its runs
+    ("entity_resolution", r"windowspecdefinition\(_s#"),  # the first two of a name and host, not of every run
+    ("linked_people", r"Aggregate\(keys=\[entity_id#\d+\w*, person_key#\d+, (knownfloatingpointnormalized\()?_dob#"),  # known people once
+])
+def test_rows_that_runs_share_are_made_once(spark, sf_dir, name, step):
+    assert re.search(step, initial_plan(entry.queries()[name](spark, sf_dir)))
+
+
+def test_scoring_carries_no_keys_of_names_that_blocking_has_ranked(spark):
+    subjects = spark.createDataFrame([(1, "Ivan Petrov")], "subject_id long, name string")
+    records = spark.createDataFrame([("a", ["Petrov, Ivan"])], "record_id string, names array<string>").selectExpr(
+        "*", *(f"CAST(NULL AS {t}) AS {c}" for c, t in (("dobs", f"array<{DOB_TYPE}>"), ("pobs", "array<string>"), ("nationalities", "array<string>"), ("documents", DOC_TYPE))))
+    pairs = block(subjects.selectExpr("subject_id", "array(name) AS names"), records, compare=True)
+    row = with_pair_inputs(pairs, subjects, records).select("s.forms", "r.forms").first()
+    assert [t.k for forms in row for f in forms for t in f.tokens] == [[]] * 4
+    assert score_pairs(pairs, subjects, records, DEFAULT_RULE).first().terms[0].name == "name_token_reordered"
