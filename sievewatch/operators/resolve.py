@@ -88,13 +88,17 @@ def _keys(side: str, other: str) -> Column:
 
 
 def _meet(s: DataFrame, c: DataFrame) -> DataFrame:
-    """Pairs of distinct (tokens, host) of both sides that can reach INCLUDE, each once, with s_tokens, s_host, c_tokens, c_host."""
+    """Pairs of distinct (tokens, host) of both sides that can reach INCLUDE, each once, with s_tokens, s_host, c_tokens, c_host.
+
+    The tokens of both sides are sorted arrays.
+    """
     order = _by_rarity(s.select("tokens").union(c.select("tokens")))
 
     def side(df: DataFrame, own: str, other: str) -> DataFrame:
         rows = df.join(order, "tokens", "left").withColumn("t", F.coalesce("t", F.array().cast("array<string>")))
         rows = rows.withColumn("_k", F.explode(_keys(own, other)))
-        return rows.select(F.col("tokens").alias(f"{own}_tokens"), F.col("host").alias(f"{own}_host"), F.col("t").alias(f"{own}_t"),
+        # one array a row is shuffled: sorted, the tokens by rarity are those of the row
+        return rows.select(F.col("host").alias(f"{own}_host"), F.col("t").alias(f"{own}_t"),
                            F.col("_k.kind").alias("kind"), F.col("_k.a").alias("a"), F.col("_k.b").alias("b"))
 
     both = F.array_intersect("s_t", "c_t")  # keeps the order of rarity
@@ -106,7 +110,8 @@ def _meet(s: DataFrame, c: DataFrame) -> DataFrame:
     by_name = (~one_root & (kind.startswith("s") == s_small) & (F.col("a") == first)
                & ((kind.endswith("1") | kind.endswith("L")) | (F.col("b") == second)))
     kept = F.when(kind == "host", F.lit(True)).when(kind == "domain", ~one_host & (F.col("b") == first)).otherwise(by_name)
-    return side(s, "s", "c").join(side(c, "c", "s"), ["kind", "a", "b"]).filter(kept).select("s_tokens", "s_host", "c_tokens", "c_host")
+    return side(s, "s", "c").join(side(c, "c", "s"), ["kind", "a", "b"]).filter(kept).select(
+        F.array_sort("s_t").alias("s_tokens"), "s_host", F.array_sort("c_t").alias("c_tokens"), "c_host")
 
 
 def resolve_entities(subs: DataFrame, hints: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
