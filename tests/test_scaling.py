@@ -15,7 +15,7 @@ def initial_plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["field_comparisons", "blocking_candidates", "screen_subjects"])
+@pytest.mark.parametrize("name", ["field_comparisons", "blocking_candidates", "screen_subjects", "screen_subjects_bounded"])
 def test_rows_derived_from_small_files_are_broadcast_only_by_measured_size(spark, sf_dir, name):
     plan = initial_plan(entry.queries()[name](spark, sf_dir))
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
@@ -31,6 +31,25 @@ def test_rows_that_runs_share_are_made_once(spark, sf_dir, name, step):
     assert re.search(step, initial_plan(entry.queries()[name](spark, sf_dir)))
 
 
+def test_evidence_meets_signals_by_run_alone(spark, sf_dir):
+    assert not re.search(r"hashpartitioning\(run_id#\d+L?, signal#", initial_plan(entry.queries()["signal_evidence_links"](spark, sf_dir)))
+
+
+@pytest.mark.parametrize("name", ["assembled_reports", "report_sections", "layer_explanations"])
+def test_reports_score_runs_once(spark, sf_dir, name):
+    plan = initial_plan(entry.queries()[name](spark, sf_dir))
+    assert "has_registry" not in plan and "hashpartitioning(run_id#" in plan and ", layer#" not in "".join(re.findall(r"hashpartitioning\([^)]*", plan))
+
+
+def test_a_short_table_is_dealt_out(spark, sf_dir):
+    assert "Exchange hashpartitioning(c_custkey#" in initial_plan(entry.queries()["script_names"](spark, sf_dir))
+
+
+def test_replay_reads_stored_decisions_and_scores_them_once(spark, sf_dir):
+    plan = initial_plan(entry.queries()["replay_decisions"](spark, sf_dir))
+    assert "c_custkey" not in plan and "p_partkey" not in plan and "best_name" not in plan and "Window" not in plan
+
+
 def test_scoring_carries_no_keys_of_names_that_blocking_has_ranked(spark):
     subjects = spark.createDataFrame([(1, "Ivan Petrov")], "subject_id long, name string")
     records = spark.createDataFrame([("a", ["Petrov, Ivan"])], "record_id string, names array<string>").selectExpr(
@@ -39,3 +58,24 @@ def test_scoring_carries_no_keys_of_names_that_blocking_has_ranked(spark):
     row = with_pair_inputs(pairs, subjects, records).select("s.forms", "r.forms").first()
     assert [t.k for forms in row for f in forms for t in f.tokens] == [[]] * 4
     assert score_pairs(pairs, subjects, records, DEFAULT_RULE).first().terms[0].name == "name_token_reordered"
+
+
+def test_resolution_shuffles_one_token_array_a_row(spark, sf_dir):
+    plan = initial_plan(entry.queries()["resolved_candidates"](spark, sf_dir))
+    keyed = re.findall(r"Project \[([^\n]*_k#\d+\.kind AS kind[^\n]*)\]", plan)
+    assert keyed and not any("_tokens" in row for row in keyed)
+
+
+def test_stream_screens_a_batch_once(spark, sf_dir, monkeypatch):
+    from sievewatch.streaming import streams
+
+    plans, append = {}, streams.append_table
+
+    def noted(df, path, keys):
+        plans[tuple(df.columns)] = df._jdf.queryExecution().withCachedData().toString()
+        append(df, path, keys)
+
+    monkeypatch.setattr(streams, "append_table", noted)
+    entry.queries()["stream_screening"](spark, sf_dir)
+    decided = next(p for columns, p in plans.items() if "disposition" in columns)
+    assert re.search(r"InMemoryRelation \[[^\]]*\bband#", decided)
