@@ -138,10 +138,9 @@ def _nearest(k: int) -> Callable:
         while True:
             wide = beam >= len(vectors)
             found = None if wide else hnsw.search(graph, asked[some], beam)[0]
-            # by value, so that ties do not count as misses
-            if wide or (_scores(vectors, asked[some], found)[:, :most] >= exact - 1e-9).mean() >= TARGET:
+            if wide or _recall(_scores(vectors, asked[some], found), exact) >= TARGET:
                 break
-            beam *= 2
+            beam += beam // 2
         out_q, out_g, out_s = [], [], []
         step = max(1, min(hnsw.ROWS, SCAN // len(vectors))) if wide else hnsw.ROWS
         for at in range(0, len(asked), step):
@@ -169,6 +168,12 @@ def _scores(vectors: np.ndarray, queries: np.ndarray, found: np.ndarray, ordered
     return -np.sort(-out, axis=1) if ordered else out
 
 
+def _recall(scores: np.ndarray, exact: np.ndarray) -> float:
+    """The share of the nearest (``exact``: their products) that is among ``scores``, largest first; by value, so that ties do not
+    count as misses, and against the least of ``exact``, so that one miss does not count for all behind it."""
+    return (scores[:, : exact.shape[1]] >= exact[:, -1:] - 1e-9).mean()
+
+
 def _scan_top(vectors: np.ndarray, queries: np.ndarray, k: int) -> np.ndarray:
     """The k largest products of each query, by brute force in blocks."""
     out = np.empty((len(queries), k))

@@ -19,6 +19,13 @@ BATCH = 2048
 #: Flags of visited nodes held at a time, and vectors compared at a time.
 FLAGS = 1 << 26
 ROWS = 4096
+#: Queries searched in step, and nodes of a beam that are opened together.
+STEP = 256
+OPENED = 8
+#: Products taken at a time.
+PIECE = 1024
+#: A free place in a beam; its lowest bit counts it as opened.
+NOTHING = np.int64(np.iinfo(np.int64).min + 1)
 
 
 @dataclass
@@ -103,9 +110,12 @@ def _choose(vectors: np.ndarray, found: np.ndarray, near: np.ndarray, width: int
         held = vectors[ids]
         mutual = held @ held.transpose(0, 2, 1)
         chosen = np.zeros(ids.shape, bool)
+        closest, count = np.full(ids.shape, -np.inf, np.float32), np.zeros(len(ids), np.int64)
         for c in range(ids.shape[1]):
-            closest = np.where(chosen[:, :c], mutual[:, c, :c], -np.inf).max(axis=1) if c else -np.inf
-            chosen[:, c] = real[:, c] & (closest < sims[:, c]) & (chosen.sum(axis=1) < width)
+            chosen[:, c] = real[:, c] & (closest[:, c] < sims[:, c]) & (count < width)
+            now = np.nonzero(chosen[:, c])[0]
+            count[now] += 1
+            closest[now, c + 1:] = np.maximum(closest[now, c + 1:], mutual[now, c, c + 1:])
         first = np.argsort(np.where(chosen, 0, np.where(real, 1, 2)), axis=1, kind="stable")[:, :width]
         got = np.where(np.take_along_axis(real, first, axis=1), np.take_along_axis(ids, first, axis=1), -1)
         out[at: at + 512, : got.shape[1]] = got
@@ -117,7 +127,7 @@ def search(graph: Graph, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np
     n = len(graph.layers[0])
     beam = min(beam, n)
     ids, near = np.full((len(queries), beam), -1, np.int32), np.full((len(queries), beam), -np.inf, np.float32)
-    step = max(16, min(ROWS, FLAGS // max(1, n)))
+    step = max(16, min(STEP, FLAGS // max(1, n)))
     for at in range(0, len(queries), step):
         part = np.ascontiguousarray(queries[at: at + step], np.float32)
         start = np.zeros((len(part), 1), np.int32)
@@ -127,42 +137,63 @@ def search(graph: Graph, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np
     return ids, near
 
 
+def _each(vectors: np.ndarray, nodes: np.ndarray, queries: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Product of each node with its query, in pieces that stay in the cache."""
+    out = np.empty(len(nodes), np.float32)
+    held, asked = np.empty((PIECE, vectors.shape[1]), np.float32), np.empty((PIECE, vectors.shape[1]), np.float32)
+    for at in range(0, len(nodes), PIECE):
+        n = min(PIECE, len(nodes) - at)
+        np.take(vectors, nodes[at: at + n], axis=0, out=held[:n], mode="clip")
+        np.take(queries, of[at: at + n], axis=0, out=asked[:n], mode="clip")
+        np.einsum("rd,rd->r", held[:n], asked[:n], out=out[at: at + n])
+    return out
+
+
+def _keys(near: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """One integer for each product and node, in the order of the products; the lowest bit is free."""
+    bits = near.view(np.int32).astype(np.int64)
+    return (bits ^ (bits >> 31 & 0x7FFFFFFF)) << 32 | nodes.astype(np.int64) << 1
+
+
 def _beam(vectors: np.ndarray, layer: np.ndarray, queries: np.ndarray, start: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """Beam search of all queries in step: each opens its nearest unopened node until all of its beam is open.
+    """Beam search of all queries in step: each opens its OPENED nearest unopened nodes until all of its beam is open.
 
-    A beam is kept unordered: a node that is nearer than its farthest one takes that place.
+    A beam is kept as unordered keys whose lowest bit tells that a node has been opened. With several nodes opened at once,
+    the work that each step does on whole beams grows less with their length.
     """
-    q = len(queries)
-    ids, near = np.full((q, beam), -1, np.int32), np.full((q, beam), -np.inf, np.float32)
-    shut = near.copy()  # products of unopened nodes
+    q, opened = len(queries), min(OPENED, beam)
+    held = np.full((q, beam), NOTHING)
+    held[:, 0] = _keys(np.einsum("rd,rd->r", queries, vectors[start[:, 0]]), start[:, 0])
     seen = np.zeros((q, len(layer)), bool)
-    ids[:, 0] = start[:, 0]
-    shut[:, 0] = near[:, 0] = np.einsum("rd,rd->r", queries, vectors[start[:, 0]])
     seen[np.arange(q), start[:, 0]] = True
     live = np.arange(q)
     while len(live):
-        best = shut[live].argmax(axis=1)
-        on = np.isfinite(shut[live, best])
-        live, best = live[on], best[on]
-        shut[live, best] = -np.inf
-        around = layer[ids[live, best]]
-        row, col = np.nonzero((around >= 0) & ~seen[live[:, None], around])
-        nodes, of = around[row, col], live[row]
-        seen[of, nodes] = True
-        sims = np.einsum("rd,rd->r", vectors[nodes], queries[of])
-        better = sims > near[live].min(axis=1)[row]
-        nodes, of, sims = nodes[better], of[better], sims[better]
-        turn = np.arange(len(of)) - np.searchsorted(of, of)  # the first, second, ... of its query
-        order = np.argsort(turn, kind="stable")
-        cuts = np.searchsorted(turn[order], np.arange(int(turn.max(initial=-1)) + 2))
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            now = order[a:b]
-            r = of[now]
-            slot = near[r].argmin(axis=1)
-            fits = sims[now] > near[r, slot]
-            now, r, slot = now[fits], r[fits], slot[fits]
-            ids[r, slot] = nodes[now]
-            near[r, slot] = shut[r, slot] = sims[now]
-    order = np.argsort(-near, axis=1, kind="stable")
-    near = np.take_along_axis(near, order, axis=1)
-    return np.where(np.isfinite(near), np.take_along_axis(ids, order, axis=1), -1), near
+        keys = held[live]
+        shut = np.where(keys & 1, NOTHING, keys)
+        best = np.partition(shut, beam - opened, axis=1)[:, beam - opened:]
+        on = best != NOTHING
+        some = on.any(axis=1)
+        if not some.all():
+            live, keys, shut, best, on = live[some], keys[some], shut[some], best[some], on[some]
+            if not len(live):
+                break
+        keys |= shut >= best.min(axis=1)[:, None]
+        around = np.where(on[:, :, None], layer[(best & 0xFFFFFFFF) >> 1], -1).reshape(len(live), -1)
+        around.sort(axis=1)
+        fresh = (around >= 0) & ~seen[live[:, None], around]
+        fresh[:, 1:] &= around[:, 1:] != around[:, :-1]
+        row, col = np.nonzero(fresh)
+        nodes = around[row, col]
+        seen[live[row], nodes] = True
+        sims = _keys(_each(vectors, nodes, queries, live[row]), nodes)
+        better = sims > keys.min(axis=1)[row]
+        row, sims = row[better], sims[better]
+        count = np.bincount(row, minlength=len(live))
+        added = np.full((len(live), int(count.max())), NOTHING)
+        added[row, np.arange(len(row)) - (np.cumsum(count) - count)[row]] = sims
+        held[live] = np.partition(np.concatenate([keys, added], axis=1), added.shape[1], axis=1)[:, added.shape[1]:] if len(row) else keys
+    held = -np.sort(-held, axis=1)
+    bits = held >> 32
+    near = (bits ^ (bits >> 31 & 0x7FFFFFFF)).astype(np.int32).view(np.float32)
+    real = held != NOTHING
+    return np.where(real, (held & 0xFFFFFFFF) >> 1, -1).astype(np.int32), np.where(real, near, np.float32(-np.inf))

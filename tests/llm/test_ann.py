@@ -144,3 +144,19 @@ def test_hot_links_do_not_hide_lost_pairs_in_the_audit():
     assert (audit[2] == 1).sum() > 100
     assert not ann._passes(graph, unit, audit, 64, 0.9)
     assert recall(4096) >= 0.98 * real and ann._passes(graph, unit, audit, 4096, 0.9)
+
+
+def test_one_miss_counts_once():
+    exact = -np.sort(-np.random.default_rng(2).normal(size=(4, 21)), axis=1)
+    found = np.concatenate([exact[:, 1:], exact[:, -1:] - 1], axis=1)  # the nearest of 21 is missing
+    assert ann._recall(found, exact) == pytest.approx(20 / 21)
+    assert ann._recall(exact, exact) == 1
+
+
+def test_beams_have_no_node_twice():
+    vectors = np.random.default_rng(4).normal(size=(700, 12)).astype(np.float32)
+    ids, near = hnsw.search(hnsw.build(vectors), vectors[:50], 128)
+    assert all(len(set(row)) == 128 and min(row) >= 0 for row in ids.tolist())
+    assert np.allclose(near, (vectors[ids] * vectors[:50, None]).sum(axis=2), atol=1e-5) and (np.diff(near, axis=1) <= 0).all()
+    best = np.argsort(-(vectors[:50] @ vectors.T), axis=1)[:, :20]
+    assert np.mean([len(set(a) & set(b)) for a, b in zip(best.tolist(), ids.tolist(), strict=True)]) >= 19
