@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sievewatch.operators import explain, lists, monitor, people, public_records, queue
-from sievewatch.plans.base import AS_OF, pick, query, sql_pick, table
+from sievewatch.plans.base import AS_OF, parts_by_rows, pick, query, sql_pick, table
 from sievewatch.plans.listing import _RUNS_SQL, _runs
 from sievewatch.sources import evidence as producers
 
@@ -151,8 +151,10 @@ def appended_dispositions(spark, sf_dir):
     human = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("decision_id"), F.col("l_linenumber").alias("disposition_id"), F.col("l_suppkey").alias("operator_id"))
     decided = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("decision_id"))
     roles = table(spark, sf_dir, "supplier").select(s.alias("operator_id"), F.when(s % 4 == 0, "operator").when(s % 4 == 1, "lead").otherwise("viewer").alias("role"))
-    taken, refused = queue.append_disposition(human, decided, roles)
+    parts = parts_by_rows(human)
+    taken, refused = queue.append_disposition(human.repartition(parts, "decision_id"), decided, roles)
     both = taken.select("decision_id", "disposition_id", F.lit(None).cast("string").alias("reject_reason")).unionByName(refused.select("decision_id", "disposition_id", "reject_reason"))
+    both = both.repartition(parts, "decision_id", "disposition_id")
     return both.groupBy("decision_id", "disposition_id", "reject_reason").agg(F.count("*").alias("n"))
 
 

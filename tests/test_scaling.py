@@ -79,3 +79,13 @@ def test_stream_screens_a_batch_once(spark, sf_dir, monkeypatch):
     entry.queries()["stream_screening"](spark, sf_dir)
     decided = next(p for columns, p in plans.items() if "disposition" in columns)
     assert re.search(r"InMemoryRelation \[[^\]]*\bband#", decided)
+
+
+def test_dispositions_are_dealt_by_rows_not_by_bytes(spark, sf_dir, monkeypatch):
+    from sievewatch.plans import base
+
+    monkeypatch.setattr(base, "PART_ROWS", 1000)
+    rows = base.table(spark, sf_dir, "lineitem").count()
+    plan = initial_plan(entry.queries()["appended_dispositions"](spark, sf_dir))
+    dealt = re.findall(r"hashpartitioning\(decision_id#\d+L?(?:, disposition_id#\d+L?)?, (\d+)\), REPARTITION_BY_NUM", plan)
+    assert len(dealt) >= 2 and set(dealt) == {str(-(-rows // 1000))}
