@@ -73,3 +73,10 @@ def test_interval_expansion_on_random_strings():
         strings = [tuple(symbols[i: i + least]) if i + least <= len(symbols) and symbols[i: i + least].all() else None for i in range(len(symbols))]
         seen = Counter(strings)
         assert repeated_starts(symbols, least).tolist() == [s is not None and seen[s] > 1 for s in strings]
+
+
+def test_occurrences_are_found_once(spark, monkeypatch):
+    seen, write = [], suffix_dedup.Scratch.stage
+    monkeypatch.setattr(suffix_dedup.Scratch, "stage", lambda self, df, tag: seen.append((tag, df._jdf.queryExecution().executedPlan().toString())) or write(self, df, tag))
+    suffix_dedup.repeated_spans(spark.createDataFrame([(1, "abcdefgh" * 80), (2, "abcdefgh" * 90)], "doc_id long, text string"))
+    assert [tag for tag, plan in seen if "MapInArrow" in plan or "PythonMapInArrow" in plan] == ["occurrences"]
