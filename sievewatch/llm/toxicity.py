@@ -97,15 +97,13 @@ def _counter(groups: int, known: Broadcast | None) -> Callable:
     return count
 
 
-def _counted(texts: DataFrame, groups: int, known: Broadcast | None = None) -> np.ndarray:
-    """Counts (groups x BUCKETS) of rows (text, part: 0 to groups - 1); at most BUCKETS rows reach the driver."""
+def _counted(texts: DataFrame, groups: int, known: Broadcast | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets in order and their counts (groups x buckets) of rows (text, part: 0 to groups - 1); at most BUCKETS rows reach the driver."""
     names = [f"g{i}" for i in range(groups)]
     rows = texts.mapInArrow(lean(_counter(groups, known)), "bucket int, " + ", ".join(f"{n} int" for n in names))
     got = rows.groupBy("bucket").agg(*(F.sum(n).alias(n) for n in names)).toArrow()
-    out = np.zeros((groups, BUCKETS))
-    for i, name in enumerate(names):
-        out[i, got.column("bucket").to_numpy()] = got.column(name).to_numpy()
-    return out
+    order = np.argsort(got.column("bucket").to_numpy())
+    return got.column("bucket").to_numpy()[order].astype(np.int64), np.stack([got.column(n).to_numpy()[order].astype(np.float64) for n in names])
 
 
 @dataclass
@@ -119,12 +117,12 @@ class LogOdds:
     base: float
 
     @classmethod
-    def fit(cls, corpus: np.ndarray, clean: np.ndarray, toxic: np.ndarray) -> LogOdds:
+    def fit(cls, buckets: np.ndarray, corpus: np.ndarray, clean: np.ndarray, toxic: np.ndarray) -> LogOdds:
         labelled = clean.sum() + toxic.sum()
         weight = PRIOR + CORPUS * labelled * corpus / max(1.0, corpus.sum())
         base = min(0.5, max(1e-6, toxic.sum() / max(1.0, labelled)))
         at = np.nonzero(toxic)[0]
-        return cls(at, *(x[at].astype(np.float32) for x in (clean, toxic, weight)), float(base))
+        return cls(buckets[at], *(x[at].astype(np.float32) for x in (clean, toxic, weight)), float(base))
 
     def of(self, token: bytes) -> float:
         """Log-odds of the token's share of label 1 against the share of all tokens, less the cost of a token.
@@ -315,13 +313,17 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     last = max(f for f in range(4) if f != held_out)
     second = (F.col("fold") == last).cast("int")
     toxic = slim.join(F.broadcast(train.where("label = 1")), slim["id"] == train["label_id"])
-    toxic = _counted(toxic.select("text", second.alias("part")), 2)
-    known = sc.broadcast(np.packbits(toxic.any(axis=0)))
+    buckets, toxic = _counted(toxic.select("text", second.alias("part")), 2)
+    marked = np.zeros(BUCKETS, bool)
+    marked[buckets] = True
+    known = sc.broadcast(np.packbits(marked))
     joined = slim.join(F.broadcast(train), slim["id"] == train["label_id"], "left")
     group = F.when(F.col("label") == 0, second).when(F.col("label") == 1, 2).otherwise(3)
-    rest = _counted(joined.select("text", group.alias("part")), 4, known)
+    at, counts = _counted(joined.select("text", group.alias("part")), 4, known)
+    rest = np.zeros((4, len(buckets)))  # of the buckets that label 1 has, as no other is asked for
+    rest[:, np.searchsorted(buckets, at)] = counts
     corpus = rest.sum(axis=0)
-    part, whole = LogOdds.fit(corpus, rest[0], toxic[0]), LogOdds.fit(corpus, rest[:2].sum(axis=0), toxic.sum(axis=0))
+    part, whole = LogOdds.fit(buckets, corpus, rest[0], toxic[0]), LogOdds.fit(buckets, corpus, rest[:2].sum(axis=0), toxic.sum(axis=0))
     calibration = train.where(F.col("fold") == last).orderBy(F.xxhash64("label_id"), "label_id").limit(MAX_CALIBRATION)
     seen = slim.join(F.broadcast(calibration), slim["id"] == calibration["label_id"]).select("text", "label")
     rows = seen.mapInArrow(lean(_calibrator(sc.broadcast(astuple(part)))), "label int, m long, found array<double>").collect()

@@ -100,3 +100,13 @@ def test_passages_are_found_after_single_mentions_and_again(spark, make_docs):
     for first in (15_000, len(words) - 8):
         assert any(p["first"] <= first and first + 3 <= p["last"] <= first + 7 for p in got.passages)
     assert got.score >= toxicity.THRESHOLD
+
+
+def test_counts_reach_the_driver_without_empty_buckets(spark):
+    from sievewatch.llm import toxicity
+
+    texts = spark.createDataFrame([("red blue red", 0), ("blue", 1)], "text string, part int")
+    buckets, counts = toxicity._counted(texts, 2)
+    assert counts.shape == (2, len(buckets)) and len(buckets) <= 10 and (buckets[1:] > buckets[:-1]).all()
+    at = buckets.tolist().index(toxicity.level(b"red", 0))
+    assert counts[:, at].tolist() == [2, 0]
