@@ -21,9 +21,9 @@ alike; a row with a null id has no label and counts as not held out; an empty ta
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import astuple, dataclass
+from itertools import pairwise
 from math import exp, log
 
 import numpy as np
@@ -46,15 +46,30 @@ STEMS = (4, 5, 6, 7)
 STEP = 0.3
 #: Tokens within which a token that comes again is no new evidence.
 LOCAL = 64
-#: Distinct tokens held before counts are handed on, and scores remembered by a task.
+#: Scores of tokens remembered by a task.
 HELD = 200_000
+#: Characters of text taken at a time, unless one document is longer, and tokens counted before counts are handed on.
+PIECE = 4 << 20
+COUNTED = 1 << 30
 
 _KEEP = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
-def tokens(text: str) -> list[bytes]:
-    """Runs of letters, lower-cased; digits, punctuation and white space of ASCII separate."""
-    return text.lower().encode("utf-8", "surrogatepass").translate(_KEEP).split()
+def words_of(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct tokens of the texts, which of them stands at each place of all texts, and the place where each text ends.
+
+    Tokens are runs of letters, lower-cased; digits, punctuation and white space of ASCII separate.
+    """
+    parts = [text.lower().encode("utf-8", "surrogatepass") for text in texts]
+    whole = b" ".join([b"", *parts, b""]).translate(_KEEP)
+    letter = np.frombuffer(whole, np.uint8) != 32
+    edge = np.flatnonzero(letter[1:] != letter[:-1]) + 1
+    starts, sizes = edge[::2], edge[1::2] - edge[::2]
+    ends = np.searchsorted(starts, np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1))
+    offsets = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=offsets[1:])
+    found = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(whole.replace(b" ", b""))]).dictionary_encode()
+    return found.dictionary.to_pylist(), found.indices.to_numpy(), ends
 
 
 def level(token: bytes, k: int) -> int:
@@ -62,21 +77,29 @@ def level(token: bytes, k: int) -> int:
     return zlib.crc32(token[:k] if k else token, k) % BUCKETS
 
 
-def levels(token: bytes) -> list[int]:
-    """Buckets of the token's first bytes, the shortest first, and of the token."""
-    return [level(token, k) for k in (*STEMS, 0)]
+def levels(words: list[bytes]) -> list[np.ndarray]:
+    """Buckets of the tokens' first bytes, the shortest first, and of the tokens."""
+    heads = [[zlib.crc32(word[:k], k) for word in words] for k in STEMS]
+    return [np.array(crc, np.int64) % BUCKETS for crc in (*heads, list(map(zlib.crc32, words)))]
+
+
+def _pieces(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """The texts in runs of about PIECE characters, each with the row it begins at; null counts as empty."""
+    first, held, size = 0, [], 0
+    for row, text in enumerate(texts):
+        held.append(str(text.as_py() or ""))
+        size += len(held[-1])
+        if size >= PIECE:
+            yield first, held
+            first, held, size = row + 1, [], 0
+    if held:
+        yield first, held
 
 
 def _counter(groups: int, known: Broadcast | None) -> Callable:
     """Rows (text, group) -> (bucket, one count per group); with ``known``, only of the buckets marked there."""
 
-    def rows(held: list[Counter]) -> pa.RecordBatch:
-        sums = np.zeros((groups, BUCKETS), np.int32)
-        for group, counter in enumerate(held):
-            if counter:
-                n = np.fromiter(counter.values(), np.int32, len(counter))
-                for k in (*STEMS, 0):
-                    np.add.at(sums[group], np.fromiter((level(t, k) for t in counter), np.int32, len(counter)), n)
+    def rows(sums: np.ndarray) -> pa.RecordBatch:
         seen = sums.any(axis=0)
         if known is not None:
             seen &= np.unpackbits(known.value).astype(bool)
@@ -84,15 +107,24 @@ def _counter(groups: int, known: Broadcast | None) -> Callable:
         return pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), *(pa.array(sums[i, seen]) for i in range(groups))], names=["bucket", *(f"g{i}" for i in range(groups))])
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [Counter() for _ in range(groups)]
+        sums, held = np.zeros((groups, BUCKETS), np.int32), 0
         for batch in batches:
-            for text, group in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                held[group].update(tokens(text.as_py()))
-            if sum(map(len, held)) > HELD:
-                yield rows(held)
-                held = [Counter() for _ in range(groups)]
-        if any(held):
-            yield rows(held)
+            parts = batch.column(1).to_numpy()
+            for first, texts in _pieces(batch.column(0)):
+                words, at, ends = words_of(texts)
+                if held and held + len(at) > COUNTED:
+                    yield rows(sums)
+                    sums, held = np.zeros((groups, BUCKETS), np.int32), 0
+                held += len(at)
+                group = np.repeat(parts[first: first + len(texts)], np.diff(ends, prepend=0))
+                buckets = levels(words)
+                for i in range(groups):
+                    n = np.bincount(at[group == i], minlength=len(words)).astype(np.int32)
+                    some = np.flatnonzero(n)
+                    for bucket in buckets:
+                        np.add.at(sums[i], bucket[some], n[some])
+        if held:
+            yield rows(sums)
 
     return count
 
@@ -124,51 +156,52 @@ class LogOdds:
         at = np.nonzero(toxic)[0]
         return cls(buckets[at], *(x[at].astype(np.float32) for x in (clean, toxic, weight)), float(base))
 
-    def of(self, token: bytes) -> float:
-        """Log-odds of the token's share of label 1 against the share of all tokens, less the cost of a token.
-
-        Each level is the centre of the next one's prior; a level that label 1 has not seen adds nothing.
-        """
-        share = self.base
-        wanted = np.array(levels(token))
-        found = np.minimum(np.searchsorted(self.buckets, wanted), len(self.buckets) - 1)
-        if len(self.buckets):
-            for at in found[self.buckets[found] == wanted].tolist():
-                toxic, weight = float(self.toxic[at]), float(self.weight[at])
-                share = (toxic + weight * share) / (toxic + float(self.clean[at]) + weight)
-        return log(share / (1 - share)) - log(self.base / (1 - self.base)) - STEP
-
-
 class _Scores(dict):
-    """Token -> score, worked out at first sight."""
+    """Token -> log-odds of its share of label 1 against the share of all tokens, less the cost of a token; worked out at first sight.
+
+    Each level is the centre of the next one's prior; a level that label 1 has not seen adds nothing.
+    """
 
     def __init__(self, model: LogOdds):
         super().__init__()
-        self.model = model
-
-    def __missing__(self, token: bytes) -> float:
-        if len(self) >= HELD:
+        n = len(model.buckets)
+        self.base = model.base
+        self.row = np.full(BUCKETS, n, np.int32)  # the row behind the last stands for all other buckets: nothing counted
+        self.row[model.buckets] = np.arange(n)
+        self.clean, self.toxic, self.weight = (np.append(x, np.float32(y)).astype(np.float64) for x, y in ((model.clean, 0), (model.toxic, 0), (model.weight, 1)))
+
+    def learn(self, words: list[bytes]) -> None:
+        share = np.full(len(words), self.base)
+        for bucket in levels(words):
+            at = self.row[bucket]
+            share = (self.toxic[at] + self.weight[at] * share) / (self.toxic[at] + self.clean[at] + self.weight[at])
+        whole = log(self.base / (1 - self.base))
+        self.update(zip(words, (log(x) - whole - STEP for x in (share / (1 - share)).tolist()), strict=True))
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        new = [word for word in words if word not in self]
+        if len(self) + len(new) > HELD:
             self.clear()
-        got = self[token] = self.model.of(token)
-        return got
+            new = words
+        self.learn(new)
+        return np.fromiter(map(self.__getitem__, words), np.float32, len(words))
 
 
-def segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
-    """All maximal scoring segments (score, first, last + 1), by the linear scan of Ruzzo and Tompa.
-
-    Neighbours of one sign are added up first: a maximal segment begins and ends with whole positive runs.
-    """
+def _runs(scores: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of one sign begin, and their sums; none goes on beyond one of the ``ends``, the last of which ends the scores."""
     up = scores > 0
-    if not up.any():
-        return []
-    edge = np.nonzero(np.concatenate([[True], up[1:] != up[:-1]]))[0]
-    sums = np.add.reduceat(scores.astype(np.float64), edge).tolist()
-    ends = np.concatenate([edge[1:], [len(scores)]]).tolist()
-    starts = edge.tolist()
+    new = np.concatenate([[True], up[1:] != up[:-1]])
+    new[ends[ends < len(scores)]] = True
+    edge = np.flatnonzero(new)
+    return edge, np.add.reduceat(scores.astype(np.float64), edge)
+
+
+def _maximal(sums: list[float], edges: list[int]) -> list[tuple[float, int, int]]:
+    """The maximal scoring segments of runs with these sums, that begin and end at these edges."""
     total = 0.0
     # each candidate: sum before it, sum up to its end, first, last + 1, and the nearest earlier one with a smaller left sum
     held: list[list] = []
-    for value, first, last in zip(sums, starts, ends, strict=True):
+    for value, (first, last) in zip(sums, pairwise(edges), strict=True):
         before, total = total, total + value
         if value <= 0:
             continue
@@ -185,6 +218,17 @@ def segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
     return [(right - left, first, last) for left, right, first, last, _ in held]
 
 
+def segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
+    """All maximal scoring segments (score, first, last + 1), by the linear scan of Ruzzo and Tompa.
+
+    Neighbours of one sign are added up first: a maximal segment begins and ends with whole positive runs.
+    """
+    if not len(scores):
+        return []
+    edge, sums = _runs(scores, np.array([len(scores)]))
+    return _maximal(sums.tolist(), [*edge.tolist(), len(scores)])
+
+
 @dataclass
 class Calibration:
     """Gumbel law of clean documents, and the curve from summed evidence to probability."""
@@ -235,36 +279,61 @@ class Calibration:
         return cls(law.rate, law.k, float(w[0]), float(w[1]))
 
 
-def _scan(text: str, scores: _Scores) -> tuple[int, list[tuple[float, int, int]]]:
-    """Tokens and segments of a text; a token that comes again nearby is no new evidence and costs like any other.
+def _again(words: np.ndarray, up: np.ndarray) -> np.ndarray:
+    """Those of the places ``up`` whose token stands at another of them at most LOCAL tokens before."""
+    order = np.argsort(words[up], kind="stable")
+    word, place = words[up][order], up[order]
+    return place[1:][(word[1:] == word[:-1]) & (place[1:] - place[:-1] <= LOCAL)]
+
+
+def _discount(words: np.ndarray, values: np.ndarray) -> None:
+    """A token that comes again nearby is no new evidence and costs like any other.
 
     Nearby: at most LOCAL tokens after its last place, while the sum of scores has not fallen to zero in between (no
     segment spans such a place). So passages are judged by their own tokens, whatever the text mentions before.
     """
-    words = tokens(text)
-    values = np.fromiter(map(scores.__getitem__, words), np.float32, len(words))
     up = np.nonzero(values > 0)[0]
     cost = np.cumsum(np.where(values > 0, 0.0, values))[up].tolist()
-    places: dict[bytes, int] = {}
+    places: dict[int, int] = {}
     total = paid = 0.0
-    for at, worth, spent in zip(up.tolist(), values[up].tolist(), cost, strict=True):
+    for at, word, worth, spent in zip(up.tolist(), words[up].tolist(), values[up].tolist(), cost, strict=True):
         total, paid = total + spent - paid, spent
         if total <= 0:
             total = 0.0
             places.clear()
-        word = words[at]
         if at - places.get(word, -LOCAL - 1) <= LOCAL:
             values[at] = worth = -STEP
         total += worth
         places[word] = at
-    return len(words), segments(values)
+
+
+def _scan(texts: list[str], scores: _Scores) -> Iterator[tuple[int, list[tuple[float, int, int]]]]:
+    """Tokens and segments of each text."""
+    words, at, ends = words_of(texts)
+    if not len(at):
+        yield from ((0, []) for _ in texts)
+        return
+    values = scores.of(words)[at]
+    starts = np.concatenate([[0], ends[:-1]])
+    for i in np.unique(np.searchsorted(ends, _again(at, np.flatnonzero(values > 0)), side="right")).tolist():
+        _discount(at[starts[i]: ends[i]], values[starts[i]: ends[i]])
+    edge, sums = _runs(values, ends)
+    first, last = np.searchsorted(edge, starts), np.searchsorted(edge, ends)
+    edge, sums = [*edge.tolist(), len(at)], sums.tolist()
+    for a, b, i, j in zip(starts.tolist(), ends.tolist(), first.tolist(), last.tolist(), strict=True):
+        yield b - a, [(score, x - a, y - a) for score, x, y in _maximal(sums[i:j], edge[i: j + 1])] if a < b else []
+
+
+def _scans(texts: pa.Array, scores: _Scores) -> Iterator[tuple[int, list[tuple[float, int, int]]]]:
+    for _, piece in _pieces(texts):
+        yield from _scan(piece, scores)
 
 
 def _calibrator(shared: Broadcast) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = _Scores(LogOdds(*shared.value))
         for batch in batches:
-            found = [_scan(t.as_py(), scores) for t in batch.column(0)]
+            found = list(_scans(batch.column(0), scores))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([m for m, _ in found], pa.int64()), pa.array([[s for s, _, _ in f] for _, f in found], pa.list_(pa.float64()))], names=["label", "m", "found"])
 
     return run
@@ -279,8 +348,7 @@ def _scorer(shared: Broadcast, law: Calibration) -> Callable:
         scores = _Scores(LogOdds(*shared.value))
         for batch in batches:
             probability, size, passages = [], [], []
-            for text in batch.column(2):
-                m, found = _scan(text.as_py(), scores)
+            for m, found in _scans(batch.column(2), scores):
                 probability.append(law.probability([s for s, _, _ in found], m))
                 base = log(law.k * max(1, m))
                 passages.append([(s, a, b - 1) for s, a, b in found if law.rate * s > base])
@@ -341,10 +409,7 @@ def _rejecter(shared: Broadcast, law: Calibration, threshold: float, text_at: in
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = _Scores(LogOdds(*shared.value))
         for batch in batches:
-            keep = []
-            for text in batch.column(text_at):
-                m, found = _scan(str(text.as_py() or ""), scores)
-                keep.append(law.probability([s for s, _, _ in found], m) < threshold)
+            keep = [law.probability([s for s, _, _ in found], m) < threshold for m, found in _scans(batch.column(text_at), scores)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return run

@@ -110,3 +110,57 @@ def test_counts_reach_the_driver_without_empty_buckets(spark):
     assert counts.shape == (2, len(buckets)) and len(buckets) <= 10 and (buckets[1:] > buckets[:-1]).all()
     at = buckets.tolist().index(toxicity.level(b"red", 0))
     assert counts[:, at].tolist() == [2, 0]
+
+
+def test_counts_are_handed_on_once_a_task():
+    import pyarrow as pa
+
+    name = lambda i: "".join(chr(97 + int(d)) for d in str(i))
+    batches = [pa.RecordBatch.from_pydict({"text": [" ".join(name(i) for i in range(a, a + 210_000)), None], "part": [0, 1]}) for a in (0, 100_000)]
+    got = list(toxicity._counter(2, None)(iter(batches)))
+    assert len(got) == 1 and got[0].column("bucket").to_numpy().tolist() == np.unique(got[0].column("bucket").to_numpy()).tolist()
+    assert sum(got[0].column("g0").to_pylist()) == 420_000 * 5 and not any(got[0].column("g1").to_pylist())
+
+
+def plain_score(model, token):
+    share = model.base
+    for bucket in [toxicity.level(token, k) for k in (*toxicity.STEMS, 0)]:
+        for at in np.nonzero(model.buckets == bucket)[0]:
+            toxic, clean, weight = float(model.toxic[at]), float(model.clean[at]), float(model.weight[at])
+            share = (toxic + weight * share) / (toxic + clean + weight)
+    return np.float32(np.log(share / (1 - share)) - np.log(model.base / (1 - model.base)) - toxicity.STEP)
+
+
+def plain_scan(model, text):
+    words = "".join(c if ord(c) >= 128 or c.isalpha() else " " for c in text.lower()).encode().split(b" ")
+    words = [w for w in words if w]
+    values, places, total = [plain_score(model, w) for w in words], {}, 0.0
+    for at, word in enumerate(words):
+        if values[at] > 0:
+            if total <= 0:
+                places, total = {}, 0.0
+            if at - places.get(word, -1000) <= toxicity.LOCAL:
+                values[at] = np.float32(-toxicity.STEP)
+            places[word] = at
+        total += float(values[at])
+    return len(words), toxicity.segments(np.array(values, np.float32))
+
+
+def test_pieces_of_texts_are_scanned_like_single_tokens(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    words = ["vile", "rotten", "Rottenest", "ΟΔΟΣ", "näher", "plain", "word", "vi", "x" * 300, "plains"]
+    seen = sorted({toxicity.level(w.lower().encode(), k) for w in words[:6] for k in (*toxicity.STEMS, 0)})
+    draw = np.random.default_rng(3)
+    toxic, clean = draw.integers(1, 40, len(seen)).astype(np.float64), draw.integers(0, 30, len(seen)).astype(np.float64)
+    model = toxicity.LogOdds(np.array(seen), clean.astype(np.float32), toxic.astype(np.float32), np.full(len(seen), 3, np.float32), 0.2)
+    texts = ["", None, " 12 ", "ΟΔΟΣ", "vile" + " word" * 70 + " vile", *(rng.choice([" ", "\n", "3", " - "]).join(rng.choices(words, k=rng.randint(0, 200))) for _ in range(40)), ""]
+    want = [plain_scan(model, t or "") for t in texts]
+    assert any(f for _, f in want)
+    for piece, held in ((1, 3), (700, 5), (4 << 20, 200_000)):
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        monkeypatch.setattr(toxicity, "HELD", held)
+        got = list(toxicity._scans(pa.array(texts, pa.string()), toxicity._Scores(model)))
+        assert [(m, [(a, b) for _, a, b in f]) for m, f in got] == [(m, [(a, b) for _, a, b in f]) for m, f in want]
+        np.testing.assert_allclose([s for _, f in got for s, _, _ in f], [s for _, f in want for s, _, _ in f], rtol=1e-5)
