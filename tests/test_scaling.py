@@ -60,6 +60,15 @@ def test_scoring_carries_no_keys_of_names_that_blocking_has_ranked(spark):
     assert score_pairs(pairs, subjects, records, DEFAULT_RULE).first().terms[0].name == "name_token_reordered"
 
 
+@pytest.mark.parametrize("name", ["screen_subjects", "screen_with_coverage_gap", "pair_scores", "explain_candidates", "explain_dispositions", "provenance_claims"])
+def test_no_pair_is_shuffled_with_what_it_is_scored_by(spark, sf_dir, name):
+    """People meet at their keys: no side of a join on the key of a record or of a blocked name, and no window counts pairs."""
+    plan = initial_plan(entry.queries()[name](spark, sf_dir))
+    dealt = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+    assert "SortMergeJoin [key#" in plan and not any(d.startswith("name_key#") for d in dealt)
+    assert not re.search(r"windowspecdefinition\(subject_id#\d+L?, specifiedwindow[^\n]*_full", plan)
+
+
 def test_resolution_shuffles_one_token_array_a_row(spark, sf_dir):
     plan = initial_plan(entry.queries()["resolved_candidates"](spark, sf_dir))
     keyed = re.findall(r"Project \[([^\n]*_k#\d+\.kind AS kind[^\n]*)\]", plan)

@@ -226,3 +226,24 @@ def test_a_rule_version_that_is_not_stored_fails(spark):
     subs = spark.createDataFrame([person("Ivan Petrov")], SUBJECT).withColumn("rule_version", F.lit(9))
     with pytest.raises(Exception, match="no rule version 9"):
         screen(subs, spark.createDataFrame([listed(["Ivan Petrov"])], RECORD), rule_rows(spark))[1].collect()
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_scores_at_the_keys_equal_scores_of_all_pairs(spark, monkeypatch, seed):
+    """Repeated and missing ids, postings dealt into blocks and rows of one subject: the pairs and scores of ``score_pairs``."""
+    import random
+
+    from sievewatch.operators import candidate_scores
+    from tests.test_bounded_blocking import people
+
+    monkeypatch.setattr(candidate_scores, "POSTINGS", 3)
+    monkeypatch.setattr(candidate_scores, "PEOPLE_A_ROW", 2)
+    subs, recs = people(random.Random(seed), 40)
+    subs += [(40 + i, *s[1:]) for i, s in enumerate(subs[:10])] + [(3, *subs[4][1:]), subs[5], (None, *subs[6][1:])]
+    recs += [("r3", *recs[4][1:]), recs[5], (None, *recs[6][1:])]
+    subs, recs = spark.createDataFrame(subs, SUBJECT), spark.createDataFrame(recs, RECORD)
+    pairs = blocking.block(subs.select("subject_id", subject_names(subs).alias("names")), recs.select("record_id", "names"))
+    want = score_pairs(pairs, subs, recs, {**DEFAULT_RULE, "common_name_threshold": 2})
+    got = candidate_scores.score_candidates(subs, subject_names(subs), recs, {**DEFAULT_RULE, "common_name_threshold": 2})
+    assert set(got.columns) == set(want.columns)
+    assert sorted(map(repr, got.select(*want.columns).collect())) == sorted(map(repr, want.collect())) and want.where("name_frequency > 1").count()
